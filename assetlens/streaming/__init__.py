@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference is batch only: three static tables re-analysed on demand, no
+streams, watermarks or state. Nothing is built here; the batch operators take
+any DataFrame, so a ``foreachBatch`` sink can call them on micro-batches if a
+caller needs it.
+"""
