@@ -121,10 +121,10 @@ def high_downtime_high_output(m: DataFrame, p: DataFrame, buckets: int | None =
     o = production_by_well(p).where(F.col("total_oil") > 0)
     j = d.join(o, d["asset_id"] == o["well_id"], "inner").select(
         "asset_id", F.col("events").alias("failure_count"), "total_downtime", "total_oil")
-    j = ranking.with_ntile(j, [desc("total_downtime"), asc("asset_id")], 4,
-                           "downtime_quartile", buckets)
-    j = ranking.with_ntile(j, [desc("total_oil"), asc("asset_id")], 4,
-                           "production_quartile", buckets)
+    # NTILE(4) OVER (ORDER BY total_downtime DESC) and (ORDER BY total_oil DESC), NULLs first
+    j = ranking.with_ntiles(j, [("downtime_quartile", "total_downtime", True, True),
+                                ("production_quartile", "total_oil", True, True)], 4,
+                            buckets=buckets)
     return j.where((F.col("downtime_quartile") == 1) & (F.col("production_quartile") == 1)).select(
         "asset_id", "failure_count",
         F.col("total_downtime").alias("total_downtime_hours"),

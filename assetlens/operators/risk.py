@@ -72,10 +72,10 @@ def emissions_failures(view: DataFrame, buckets: int | None = None) -> DataFrame
     v = view.where(F.col("avg_co2_tons").isNotNull()).select(
         "asset_id", "asset_type", "failure_count", "total_downtime_hours",
         "avg_co2_tons", "avg_methane_tons", "avg_energy_mwh")
-    v = ranking.with_ntile(v, [F.col("avg_co2_tons").desc_nulls_last(), asc("asset_id")], 4,
-                           "emissions_quartile", buckets)
-    v = ranking.with_ntile(v, [desc("failure_count"), asc("asset_id")], 4,
-                           "failure_quartile", buckets)
+    # NTILE(4) OVER (ORDER BY avg_co2_tons DESC NULLS LAST) and (ORDER BY failure_count DESC)
+    v = ranking.with_ntiles(v, [("emissions_quartile", "avg_co2_tons", True, False),
+                                ("failure_quartile", "failure_count", True, True)], 4,
+                            buckets=buckets)
     return v.select(
         "asset_id", "asset_type", "failure_count", "total_downtime_hours", "avg_co2_tons",
         "avg_methane_tons", "avg_energy_mwh", "emissions_quartile", "failure_quartile",
@@ -120,8 +120,8 @@ def dual_p90(view: DataFrame, fraction: float = DUAL_THRESHOLD_PERCENTILE,
     v = ranking.materialize(view.select(
         "asset_id", "asset_type", "failure_count", "total_downtime_hours",
         "total_maintenance_cost", "most_common_failure_type", "total_oil_barrels"))
-    f90 = ranking.percentile_cont(v, "failure_count", fraction, buckets)
-    d90 = ranking.percentile_cont(v, "total_downtime_hours", fraction, buckets)
+    f90, d90 = ranking.percentile_conts(v, ["failure_count", "total_downtime_hours"], fraction,
+                                        buckets=buckets)
     if f90 is None or d90 is None:
         keep = F.lit(False)
         f_used = d_used = F.lit(None).cast("decimal(20,1)")
@@ -160,15 +160,9 @@ def risk_scores(view: DataFrame, weights=DEFAULT_WEIGHTS, cutoffs=DEFAULT_CUTOFF
         "asset_id", "asset_type", "failure_count", "total_downtime_hours",
         "total_maintenance_cost", "most_common_failure_type", "total_oil_barrels",
         "latest_failure"))
-    # the three rank tables are built from the same materialized fleet
-    tables = {name: ranking.rank_table(v, col, buckets)
-              for name, col in (("_rd", "total_downtime_hours"), ("_rf", "failure_count"),
-                                ("_rc", "total_maintenance_cost"))}
-    for name, col in (("_rd", "total_downtime_hours"), ("_rf", "failure_count"),
-                      ("_rc", "total_maintenance_cost")):
-        t = tables[name].select(F.col(col).alias("_key"), F.col("_rank").alias(name),
-                                F.col("_n").alias("_n" if name == "_rd" else name + "_n"))
-        v = v.join(t, v[col].eqNullSafe(t["_key"]), "inner").drop("_key")
+    # the three percent ranks come from one distributed pass over value histograms
+    v = ranking.with_ranks(v, {"total_downtime_hours": "_rd", "failure_count": "_rf",
+                               "total_maintenance_cost": "_rc"}, "_n", buckets=buckets)
     # 100 * w * (r - 1) / (n - 1) with w = unit / denom  ->  unit * (r - 1) / (denom/100 * (n-1))
     den = F.when(F.col("_n") > 1, (F.col("_n") - 1) * F.lit(denom)).otherwise(F.lit(denom))
     parts = [F.lit(u) * (F.col(r) - 1) * F.lit(100) for u, r in zip(units, ("_rd", "_rf", "_rc"))]

@@ -64,13 +64,18 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None,
-              buckets: int | None = None) -> DataFrame:
+              buckets: int | None = None, within: str | None = None) -> DataFrame:
     """Add global 1-based ``_pos`` in ``order`` plus ``_n`` (row count).
 
     ``order`` must be a strict total order (end it with a unique column).
     For every ``name -> column`` in ``sums`` the frame also gets
     ``_cum_<name>`` (running SUM over ``ROWS UNBOUNDED PRECEDING .. CURRENT
     ROW``, NULL while every value so far is NULL) and ``_tot_<name>``.
+
+    ``within`` names a non-null column that is the first key of ``order``
+    and takes a handful of values (several metrics stacked into one frame):
+    positions, counts and sums then restart for each of its values, so one
+    range pass ranks several metrics. Sums must be non-null in that case.
     """
     sums = sums or {}
     nb = max(1, min(buckets or default_buckets(df.sparkSession), MAX_BUCKETS))
@@ -115,7 +120,27 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None
     drop = ["_bucket", "_idx", "_off"]
     for name in sums:
         drop += [f"_v_{name}", f"_in_{name}", f"_off_{name}"]
-    return out.drop(*drop)
+    out = out.drop(*drop)
+    if within is None:
+        return out
+    # Offsets of each stacked group: one row per group (a handful), broadcast back.
+    grp = numbered.groupBy(within).agg(
+        F.count(F.lit(1)).alias("_gn"),
+        *[F.sum(f"_v_{name}").alias(f"_gs_{name}") for name in sums])
+    prior = Window.orderBy(within).rowsBetween(Window.unboundedPreceding, -1)
+    goff = grp.select(
+        within,
+        F.coalesce(F.sum("_gn").over(prior), F.lit(0)).alias("_goff"),
+        F.col("_gn"),
+        *[F.coalesce(F.sum(f"_gs_{name}").over(prior), F.lit(0)).alias(f"_goff_{name}")
+          for name in sums],
+        *[F.col(f"_gs_{name}") for name in sums])
+    out = out.join(F.broadcast(goff), within)
+    out = out.withColumn("_pos", F.col("_pos") - F.col("_goff")).withColumn("_n", F.col("_gn"))
+    for name in sums:
+        out = (out.withColumn(f"_cum_{name}", F.col(f"_cum_{name}") - F.col(f"_goff_{name}"))
+               .withColumn(f"_tot_{name}", F.col(f"_gs_{name}")))
+    return out.drop("_goff", "_gn", *[f"_goff_{n}" for n in sums], *[f"_gs_{n}" for n in sums])
 
 
 def ntile_of(pos, n, k: int) -> Column:
@@ -144,62 +169,127 @@ def with_ntile(df: DataFrame, order: list[Column], k: int, name: str,
     return p.withColumn(name, ntile_of("_pos", "_n", k)).drop("_pos", "_n")
 
 
-def rank_table(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """``RANK() OVER (ORDER BY value)`` (NULLs last, as one peer group) per distinct value.
+def _stack(df: DataFrame, metrics: list[str], value_type: str, keep: list[str]) -> DataFrame:
+    """One row per (row, metric): ``_metric`` index and ``_value`` cast to a common type."""
+    parts = [F.struct(F.lit(i).alias("_metric"), F.col(c).cast(value_type).alias("_value"))
+             for i, c in enumerate(metrics)]
+    return df.select(*keep, F.explode(F.array(*parts)).alias("_s")).select(
+        *keep, "_s._metric", "_s._value")
+
 
-    Returns ``value, _rank, _n`` with one row per distinct value (NULL included).
+def rank_tables(df: DataFrame, metrics: list[str], value_type: str = "decimal(38,6)",
+                buckets: int | None = None) -> DataFrame:
+    """``RANK() OVER (ORDER BY m)`` (ascending, NULLs last as one peer group) for
+    several metrics in one distributed pass.
+
+    Returns ``_metric, _value, _rank, _n``: one row per distinct value of each
+    metric (NULL included). Ranking runs on the value histogram, so a value
+    shared by a third of the fleet is a single row.
     """
-    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = positions(hist, [F.col(value).asc_nulls_last()],
-                       sums={"cnt": F.col("_cnt")}, buckets=buckets)
+    hist = (_stack(df, metrics, value_type, [])
+            .groupBy("_metric", "_value").agg(F.count(F.lit(1)).alias("_cnt")))
+    ranked = positions(hist, [F.col("_metric").asc(), F.col("_value").asc_nulls_last()],
+                       sums={"cnt": F.col("_cnt")}, buckets=buckets, within="_metric")
     return ranked.select(
-        value,
+        "_metric", "_value",
         (F.col("_cum_cnt") - F.col("_cnt") + F.lit(1)).alias("_rank"),
         F.col("_tot_cnt").alias("_n"))
 
 
-def with_rank(df: DataFrame, value: str, rank_name: str, n_name: str,
-              buckets: int | None = None) -> DataFrame:
-    """Attach the RANK of ``value`` (ties share it) and the row count.
+def with_ranks(df: DataFrame, metrics: dict[str, str], n_name: str = "_n",
+               value_type: str = "decimal(38,6)", buckets: int | None = None) -> DataFrame:
+    """Attach ``RANK`` of each metric column as ``metrics[col]`` and the row count.
 
-    Joins back on the value with NULL-safe equality; AQE broadcasts the
-    histogram when it is small and splits skewed partitions otherwise.
+    Each rank table is joined back on the value with NULL-safe equality; AQE
+    broadcasts a small histogram at run time and splits skewed partitions of
+    a large one.
     """
-    rt = rank_table(df, value, buckets=buckets).withColumnRenamed(value, "_rv")
-    out = df.join(rt, df[value].eqNullSafe(rt["_rv"]), "inner").drop("_rv")
-    return out.withColumnRenamed("_rank", rank_name).withColumnRenamed("_n", n_name)
-
-
-def percentile_cont(df: DataFrame, value: str, fraction: float,
-                    buckets: int | None = None) -> float | None:
-    """``PERCENTILE_CONT(fraction) WITHIN GROUP (ORDER BY value)``, NULLs ignored.
-
-    Exact: the two order statistics around ``fraction * (n - 1)`` are found
-    on the value histogram with distributed positions; at most two histogram
-    rows reach the driver. Interpolation follows PostgreSQL in double
-    arithmetic (``lo + (hi - lo) * proportion``) so comparisons against the
-    threshold behave the same.
+    cols = list(metrics)
+    rt = rank_tables(df, cols, value_type, buckets)
+    out = df
+    for i, col in enumerate(cols):
+        t = rt.where(F.col("_metric") == i).select(
+            F.col("_value").alias("_key"), F.col("_rank").alias(metrics[col]),
+            F.col("_n").alias(n_name if i == 0 else f"_n{i}"))
+        out = out.join(t, out[col].cast(value_type).eqNullSafe(t["_key"]), "inner").drop("_key")
+        if i:
+            out = out.drop(f"_n{i}")
+    return out
+
+
+def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
+                tie: str = "asset_id", value_type: str = "decimal(38,6)",
+                buckets: int | None = None) -> DataFrame:
+    """``NTILE(k)`` for several orders in one distributed pass.
+
+    ``specs`` holds ``(output_name, value_column, descending, nulls_first)``;
+    ``tie`` (unique per row) breaks ties so the tiles are deterministic.
     """
-    hist = (df.where(F.col(value).isNotNull())
-            .groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")))
-    ranked = positions(hist, [F.col(value).asc()], sums={"cnt": F.col("_cnt")},
-                       buckets=buckets)
-    total = ranked.select(F.max("_tot_cnt")).first()[0]
-    if not total:
-        return None
-    pos = fraction * float(total - 1)
-    first_row, second_row = math.floor(pos), math.ceil(pos)
-    # a histogram row covers 0-based positions [cum - cnt, cum - 1]
-    covers = lambda k: ((F.col("_cum_cnt") - F.col("_cnt") <= k) & (F.col("_cum_cnt") > k))
-    rows = (ranked.where(covers(first_row) | covers(second_row))
-            .select(value, "_cnt", "_cum_cnt").collect())
-    def at(k):
+    metrics = [value for _, value, _, _ in specs]
+    # every input column rides along, so the input is computed once (in the
+    # checkpoint of the ranking pass) and not again for the result
+    stacked = _stack(df, metrics, value_type, df.columns)
+    # one sort for all metrics: flip ascending metrics, place NULLs explicitly
+    key, nulls_rank = F.col("_value"), F.lit(1)
+    for i, (_, _, descending, nulls_first) in enumerate(specs):
+        is_i = F.col("_metric") == i
+        if not descending:
+            key = F.when(is_i, -F.col("_value")).otherwise(key)
+        nulls_rank = F.when(is_i & F.col("_value").isNull(),
+                            F.lit(0 if nulls_first else 2)).otherwise(nulls_rank)
+    stacked = stacked.withColumn("_key", key).withColumn("_nr", nulls_rank)
+    pos = positions(stacked, [F.col("_metric").asc(), F.col("_nr").asc(),
+                              F.col("_key").desc(), F.col(tie).asc()],
+                    buckets=buckets, within="_metric")
+    tile = ntile_of("_pos", "_n", k)
+    # back to one row per input row: the copies of a row carry identical columns
+    return pos.groupBy(tie).agg(
+        *[F.first(c).alias(c) for c in df.columns if c != tie],
+        *[F.max(F.when(F.col("_metric") == i, tile)).alias(name)
+          for i, (name, _, _, _) in enumerate(specs)])
+
+
+def percentile_conts(df: DataFrame, metrics: list[str], fraction: float,
+                     value_type: str = "decimal(38,6)",
+                     buckets: int | None = None) -> list[float | None]:
+    """``PERCENTILE_CONT(fraction) WITHIN GROUP (ORDER BY m)`` per metric, NULLs ignored.
+
+    Exact: the order statistics around ``fraction * (n - 1)`` are located on
+    the value histograms with one distributed ranking pass; only the
+    histogram rows covering those positions (at most two per metric) reach
+    the driver. Interpolation follows PostgreSQL in double arithmetic,
+    ``lo + (hi - lo) * proportion``, so threshold comparisons agree with it.
+    """
+    hist = (_stack(df, metrics, value_type, []).where(F.col("_value").isNotNull())
+            .groupBy("_metric", "_value").agg(F.count(F.lit(1)).alias("_cnt")))
+    ranked = positions(hist, [F.col("_metric").asc(), F.col("_value").asc()],
+                       sums={"cnt": F.col("_cnt")}, buckets=buckets, within="_metric")
+    totals = dict(ranked.groupBy("_metric").agg(F.max("_tot_cnt")).collect())
+    wanted, cond = {}, F.lit(False)
+    for i in range(len(metrics)):
+        n = totals.get(i)
+        if not n:
+            continue
+        pos = fraction * float(n - 1)
+        lo, hi = math.floor(pos), math.ceil(pos)
+        wanted[i] = (pos, lo, hi)
+        for kpos in {lo, hi}:
+            cond = cond | ((F.col("_metric") == i) & (F.col("_cum_cnt") - F.col("_cnt") <= kpos)
+                           & (F.col("_cum_cnt") > kpos))
+    rows = ranked.where(cond).select("_metric", "_value", "_cnt", "_cum_cnt").collect()
+
+    def at(i, kpos):
         for r in rows:
-            if r["_cum_cnt"] - r["_cnt"] <= k < r["_cum_cnt"]:
-                return float(r[value])
+            if r["_metric"] == i and r["_cum_cnt"] - r["_cnt"] <= kpos < r["_cum_cnt"]:
+                return float(r["_value"])
         raise AssertionError("order statistic not found")
-    first, second = at(first_row), at(second_row)
-    if first_row == second_row:
-        return first
-    proportion = pos - first_row
-    return first + (second - first) * proportion
+
+    out = []
+    for i in range(len(metrics)):
+        if i not in wanted:
+            out.append(None)
+            continue
+        pos, lo, hi = wanted[i]
+        first, second = at(i, lo), at(i, hi)
+        out.append(first if lo == hi else first + (second - first) * (pos - lo))
+    return out
