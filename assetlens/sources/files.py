@@ -42,7 +42,9 @@ def _read_csv(spark: SparkSession, path: str, schema, mode: str) -> DataFrame:
             cols.append(c.alias(f.name))
         else:
             c = F.when(F.trim(c) != "", F.trim(c))
-            cols.append(c.cast(f.dataType).alias(f.name))
+            # FAILFAST: a malformed number or date raises (ANSI cast); otherwise NULL
+            c = c.cast(f.dataType) if mode.upper() == "FAILFAST" else c.try_cast(f.dataType)
+            cols.append(c.alias(f.name))
     return raw.select(*cols)
 
 
