@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import asc, asset_class, desc, pct, round_ratio
 from ..plans import ranking
-from ..plans.summaries import emissions_by_asset, maintenance_by_asset, production_by_well
+from ..plans.summaries import (emissions_by_asset, maintenance_by_asset_with_mode,
+                               production_by_well)
 from ..sources.schemas import COST_SCALE, EMISSIONS_SCALE
 
 # Fixed values that must equal the reference.
@@ -36,7 +37,7 @@ VIEW_COLUMNS = [
 
 def asset_reliability(m: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
     """3.1 One row per maintained asset: three asset-grain aggregates, two left joins."""
-    ms = maintenance_by_asset(m)
+    ms = maintenance_by_asset_with_mode(m)
     ps = production_by_well(p).withColumnRenamed("readings", "production_readings")
     es = (emissions_by_asset(e).withColumnRenamed("readings", "emissions_readings")
           .withColumnRenamed("asset_id", "e_asset_id"))

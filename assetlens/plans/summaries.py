@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import exact_avg
+from ..functions.exprs import exact_avg, round_ratio
 from ..sources.schemas import COST_SCALE, EMISSIONS_SCALE, WATER_CUT_SCALE
 
 # Fixed value that must equal the reference: the asset-class prefix of wells.
@@ -26,6 +26,7 @@ def is_well(c="asset_id") -> Column:
 
 
 def maintenance_by_asset(m: DataFrame) -> DataFrame:
+    """Event aggregates per asset (everything except the failure-type mode)."""
     cost, hours = F.col("cost_usd"), F.col("downtime_hours")
     return m.groupBy("asset_id").agg(
         F.count(F.lit(1)).alias("events"),
@@ -37,8 +38,40 @@ def maintenance_by_asset(m: DataFrame) -> DataFrame:
         F.max(hours).alias("max_downtime"),
         F.min("maintenance_date").alias("first_date"),
         F.max("maintenance_date").alias("latest_date"),
-        # MODE() WITHIN GROUP (ORDER BY failure_type): ties -> smallest, NULLs skipped
-        F.mode("failure_type", True).alias("mode_failure_type"),
+    )
+
+
+def maintenance_by_asset_with_mode(m: DataFrame) -> DataFrame:
+    """As :func:`maintenance_by_asset` plus ``mode_failure_type``.
+
+    ``MODE() WITHIN GROUP (ORDER BY failure_type)``: the most frequent
+    non-NULL type, ties to the smallest. Built as two hash aggregations
+    (asset x type, then asset) instead of an object aggregate holding a map
+    per asset; every other aggregate is carried through the first level as a
+    partial (sums, counts, min, max), so the events are read once.
+    """
+    cost, hours = F.col("cost_usd"), F.col("downtime_hours")
+    by_type = m.groupBy("asset_id", "failure_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(cost).alias("s_cost"), F.count(cost).alias("n_cost"), F.max(cost).alias("mx_cost"),
+        F.sum(hours).alias("s_hours"), F.count(hours).alias("n_hours"),
+        F.max(hours).alias("mx_hours"),
+        F.min("maintenance_date").alias("d0"), F.max("maintenance_date").alias("d1"))
+    s_cost, n_cost = F.sum("s_cost"), F.sum("n_cost")
+    s_hours, n_hours = F.sum("s_hours"), F.sum("n_hours")
+    top = F.min(F.when(F.col("failure_type").isNotNull(),
+                       F.struct((-F.col("n")).alias("neg_n"), F.col("failure_type").alias("ft"))))
+    return by_type.groupBy("asset_id").agg(
+        F.sum("n").alias("events"),
+        s_cost.alias("total_cost"),
+        round_ratio(s_cost, n_cost, 2, num_scale=COST_SCALE, precision=14).alias("avg_cost"),
+        F.max("mx_cost").alias("max_cost"),
+        s_hours.alias("total_downtime"),
+        round_ratio(s_hours, n_hours, 1, precision=12).alias("avg_downtime"),
+        F.max("mx_hours").alias("max_downtime"),
+        F.min("d0").alias("first_date"),
+        F.max("d1").alias("latest_date"),
+        top["ft"].alias("mode_failure_type"),
     )
 
 
