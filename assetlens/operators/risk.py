@@ -163,7 +163,8 @@ def risk_scores(view: DataFrame, weights=DEFAULT_WEIGHTS, cutoffs=DEFAULT_CUTOFF
         "latest_failure"))
     # the three percent ranks come from one distributed pass over value histograms
     v = ranking.with_ranks(v, {"total_downtime_hours": "_rd", "failure_count": "_rf",
-                               "total_maintenance_cost": "_rc"}, "_n", buckets=buckets)
+                               "total_maintenance_cost": "_rc"}, key="asset_id", n_name="_n",
+                           buckets=buckets)
     # 100 * w * (r - 1) / (n - 1) with w = unit / denom  ->  unit * (r - 1) / (denom/100 * (n-1))
     den = F.when(F.col("_n") > 1, (F.col("_n") - 1) * F.lit(denom)).otherwise(F.lit(denom))
     parts = [F.lit(u) * (F.col(r) - 1) * F.lit(100) for u, r in zip(units, ("_rd", "_rf", "_rc"))]

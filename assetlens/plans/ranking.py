@@ -10,9 +10,9 @@ is cut into range buckets instead:
    column, so heavy ties are split across buckets too), sort inside each
    bucket and number the rows with ``monotonically_increasing_id`` (bucket
    id in the high bits, position in the low bits).
-2. That numbered frame is checkpointed to the cluster's checkpoint folder,
-   so bucket ids and positions are fixed even if a stage is recomputed
-   after an executor is lost.
+2. That numbered frame is written to the cluster's checkpoint folder and
+   read back, so bucket ids and positions are fixed even if a stage is
+   recomputed after an executor is lost.
 3. Per-bucket counts and sums (one row per bucket, bounded by the bucket
    count, not by the data) become prefix offsets and are broadcast back.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 _LOW_BITS = 33          # monotonically_increasing_id: partition id << 33
 _LOW_MASK = (1 << _LOW_BITS) - 1
 MAX_BUCKETS = 4096      # bound on the broadcast offsets table
+BROADCAST_ROWS = 2_000_000  # rank tables up to this many rows are broadcast
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -53,9 +55,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (cuts lineage, survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table under the checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (the table lives in the shared
+    folder the cluster names in ``spark.checkpoint.dir``, so it survives
+    executor loss), but runs one job: an eager RDD checkpoint counts the
+    data and then recomputes it a second time to write it. Everything a
+    caller relies on later (bucket ids, positions) is stored as columns, not
+    in the partition layout.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/assetlens-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def default_buckets(spark: SparkSession) -> int:
@@ -196,25 +209,36 @@ def rank_tables(df: DataFrame, metrics: list[str], value_type: str = "decimal(38
         F.col("_tot_cnt").alias("_n"))
 
 
-def with_ranks(df: DataFrame, metrics: dict[str, str], n_name: str = "_n",
-               value_type: str = "decimal(38,6)", buckets: int | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting the rows (a proven size bound).
+
+    Above the bound the frame is returned as is and the join shuffles, with
+    AQE splitting skewed partitions.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def with_ranks(df: DataFrame, metrics: dict[str, str], key: str = "asset_id",
+               n_name: str = "_n", value_type: str = "decimal(38,6)",
+               buckets: int | None = None) -> DataFrame:
     """Attach ``RANK`` of each metric column as ``metrics[col]`` and the row count.
 
-    Each rank table is joined back on the value with NULL-safe equality; AQE
-    broadcasts a small histogram at run time and splits skewed partitions of
-    a large one.
+    The input is stacked (one copy per metric), joined once to the rank
+    tables on (metric, value) with NULL-safe equality, and folded back to one
+    row per ``key`` (unique). The copies of a row carry identical columns.
     """
     cols = list(metrics)
-    rt = rank_tables(df, cols, value_type, buckets)
-    out = df
-    for i, col in enumerate(cols):
-        t = rt.where(F.col("_metric") == i).select(
-            F.col("_value").alias("_key"), F.col("_rank").alias(metrics[col]),
-            F.col("_n").alias(n_name if i == 0 else f"_n{i}"))
-        out = out.join(t, out[col].cast(value_type).eqNullSafe(t["_key"]), "inner").drop("_key")
-        if i:
-            out = out.drop(f"_n{i}")
-    return out
+    rt = broadcast_if_small(rank_tables(df, cols, value_type, buckets).select(
+        F.col("_metric").alias("_rm"), F.col("_value").alias("_rv"), "_rank", "_n"))
+    stacked = _stack(df, cols, value_type, [key])
+    j = stacked.join(rt, (stacked["_metric"] == rt["_rm"]) & stacked["_value"].eqNullSafe(rt["_rv"]),
+                     "inner")
+    # numeric-only fold (hash aggregate), then one join back on the unique key
+    ranks = j.groupBy(key).agg(
+        *[F.max(F.when(F.col("_metric") == i, F.col("_rank"))).alias(metrics[c])
+          for i, c in enumerate(cols)],
+        F.max("_n").alias(n_name))
+    return df.join(ranks, key, "inner")
 
 
 def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
@@ -241,12 +265,15 @@ def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
     pos = positions(stacked, [F.col("_metric").asc(), F.col("_nr").asc(),
                               F.col("_key").desc(), F.col(tie).asc()],
                     buckets=buckets, within="_metric")
-    tile = ntile_of("_pos", "_n", k)
-    # back to one row per input row: the copies of a row carry identical columns
-    return pos.groupBy(tie).agg(
-        *[F.first(c).alias(c) for c in df.columns if c != tie],
-        *[F.max(F.when(F.col("_metric") == i, tile)).alias(name)
-          for i, (name, _, _, _) in enumerate(specs)])
+    pos = pos.withColumn("_tile", ntile_of("_pos", "_n", k))
+    # back to one row per input row: the first metric's copy keeps the columns,
+    # the other metrics contribute their tile through a join on the unique key
+    out = pos.where(F.col("_metric") == 0).select(
+        *df.columns, F.col("_tile").alias(specs[0][0]))
+    for i, (name, _, _, _) in enumerate(specs[1:], start=1):
+        other = pos.where(F.col("_metric") == i).select(tie, F.col("_tile").alias(name))
+        out = out.join(other, tie, "inner")
+    return out
 
 
 def percentile_conts(df: DataFrame, metrics: list[str], fraction: float,
