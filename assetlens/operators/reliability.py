@@ -65,15 +65,17 @@ def failure_modes(m: DataFrame) -> DataFrame:
         F.max("downtime_hours").alias("worst_outage_hours"),
         F.sum("cost_usd").alias("total_cost"),
         exact_avg("cost_usd", 2, scale=COST_SCALE, precision=14).alias("avg_cost_per_event"))
-    # one row per failure type: the share windows run over a handful of rows
-    everything = Window.partitionBy()
+    # grand totals as scalar subqueries over the grouped rows (failure_type is free
+    # text, so the number of groups is not bounded by construction)
+    totals = g.select(F.struct(F.sum("occurrences").alias("events"),
+                               F.sum("total_downtime_hours").alias("hours"))).scalar()
+    g = g.withColumn("_all", totals)
     return g.select(
         "failure_type", "occurrences",
-        pct("occurrences", F.sum("occurrences").over(everything), 2).alias("pct_of_all_failures"),
+        pct("occurrences", "_all.events", 2).alias("pct_of_all_failures"),
         "total_downtime_hours", "avg_downtime_hours", "worst_outage_hours",
         "total_cost", "avg_cost_per_event",
-        pct("total_downtime_hours", F.sum("total_downtime_hours").over(everything), 2)
-        .alias("pct_of_all_downtime"),
+        pct("total_downtime_hours", "_all.hours", 2).alias("pct_of_all_downtime"),
     ).orderBy(desc("total_downtime_hours"), asc("failure_type"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import asc, asset_class, desc, pct, round_ratio
@@ -192,13 +192,15 @@ def action_bands(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("assets"),
         F.sum("total_downtime_hours").alias("downtime_hours_covered"),
         F.sum("total_maintenance_cost").alias("cost_covered"))
-    everything = Window.partitionBy()
+    # grand totals: one scalar subquery over the (at most four) band rows
+    totals = g.select(F.struct(F.sum("assets").alias("assets"),
+                               F.sum("downtime_hours_covered").alias("hours"))).scalar()
+    g = g.withColumn("_all", totals)
     return g.select(
         "recommended_action", "assets",
-        pct("assets", F.sum("assets").over(everything), 1).alias("pct_of_fleet"),
+        pct("assets", "_all.assets", 1).alias("pct_of_fleet"),
         "downtime_hours_covered",
-        pct("downtime_hours_covered", F.sum("downtime_hours_covered").over(everything), 1)
-        .alias("pct_of_all_downtime_covered"),
+        pct("downtime_hours_covered", "_all.hours", 1).alias("pct_of_all_downtime_covered"),
         "cost_covered",
     ).orderBy("recommended_action")
 

@@ -44,14 +44,17 @@ def test_not_exists_becomes_anti_join(spark):
     assert "LeftAnti" in plan
 
 
-def test_event_grain_never_reaches_a_single_partition(spark):
-    # single-partition exchanges may only appear over tiny tables (bucket offsets,
-    # class/year/type groups), never directly above a scan or an asset aggregate
+def test_single_partition_exchanges_only_take_aggregates(spark):
+    # A single-partition exchange may only collect aggregated rows (one per range
+    # bucket, stacked metric, class, band or year, or one global total), never
+    # event- or asset-grain rows.
     for key in ("cost_concentration", "cost_efficiency_bands", "downtime_concentration",
-                "high_downtime_high_output", "emissions_failures", "risk_scores", "worklist"):
+                "high_downtime_high_output", "emissions_failures", "risk_scores", "worklist",
+                "cost_by_type", "failure_modes", "action_bands"):
         df = E.queries()[key](spark, SF)
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        for block in plan.split("Exchange SinglePartition")[1:]:
-            head = block.split("\n")[1:6]
-            assert not any("Scan parquet" in line for line in head), key
+        plan = df._jdf.queryExecution().executedPlan().initialPlan().toString()
+        lines = plan.split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                child = lines[i + 1]
+                assert "HashAggregate" in child, (key, child)
