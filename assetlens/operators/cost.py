@@ -61,6 +61,18 @@ def pareto(per_asset: DataFrame, value: str, rank_name: str, total_name: str,
     )
 
 
+def assets_to_reach(concentration: DataFrame, share, rank_col: str = "cost_rank",
+                    cum_col: str = "cumulative_pct_of_spend") -> DataFrame:
+    """How many top-ranked assets it takes to reach ``share`` percent (one row).
+
+    Read off a concentration table (1.2 or 2.3): the smallest rank whose
+    cumulative share is at least ``share``.
+    """
+    from decimal import Decimal
+    return concentration.where(F.col(cum_col) >= F.lit(Decimal(str(share)))).agg(
+        F.min(rank_col).alias("assets_needed"))
+
+
 def cost_concentration(m: DataFrame, buckets: int | None = None) -> DataFrame:
     """1.2 Pareto of spend."""
     per_asset = maintenance_by_asset(m).select(

@@ -205,12 +205,17 @@ def action_bands(scored: DataFrame) -> DataFrame:
     ).orderBy("recommended_action")
 
 
-def worklist(scored: DataFrame, cutoff=DEFAULT_CUTOFFS[0], buckets: int | None = None) -> DataFrame:
+def worklist(scored: DataFrame, cutoff=DEFAULT_CUTOFFS[0], capacity: int | None = None,
+             buckets: int | None = None) -> DataFrame:
     """3.6 Assets scoring at or above the top cut-off, numbered by score.
 
     Scores (percent ranks) are computed over the whole fleet before the filter.
+    ``capacity`` turns it into a top-N report ("we can inspect N assets"): the
+    N best-scoring assets above the cut-off, ties broken by ``asset_id``.
     """
     top = scored.where(F.col("risk_score") >= F.lit(Decimal(str(cutoff))))
+    if capacity is not None:
+        top = top.orderBy(desc("risk_score"), asc("asset_id")).limit(int(capacity))
     top = ranking.with_row_number(top, [desc("risk_score"), asc("asset_id")], "priority", buckets)
     return top.select(
         "priority", "asset_id", "asset_type",

@@ -73,3 +73,20 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def register_views(spark: SparkSession, m: DataFrame, p: DataFrame, e: DataFrame) -> None:
+    """Expose the tables to Spark SQL under their domain names.
+
+    ``maintenance``, ``production``, ``emissions``, the asset-grain view
+    ``v_asset_reliability`` and the ``asset_class()`` SQL function; each is
+    create-or-replace, so re-running is idempotent.
+    """
+    from ..functions.exprs import register_sql_functions
+    from ..operators.risk import asset_reliability
+
+    m.createOrReplaceTempView("maintenance")
+    p.createOrReplaceTempView("production")
+    e.createOrReplaceTempView("emissions")
+    asset_reliability(m, p, e).createOrReplaceTempView("v_asset_reliability")
+    register_sql_functions(spark)

@@ -176,3 +176,21 @@ def test_quality_checks(mpe):
     rpk = by(quality.rows_per_key(p, e).collect(), "check_name")
     assert rpk["production rows per well"].average_rows == D("2.50")
     assert rpk["emissions rows per asset"].worst_case == 2
+
+
+def test_capacity_worklist_and_assets_to_reach(mpe):
+    scored = risk.risk_scores(risk.asset_reliability(*mpe))
+    top2 = risk.worklist(scored, cutoff=0, capacity=2).collect()
+    assert [(r.priority, r.asset_id) for r in top2] == [(1, "REF001"), (2, "PIP001")]
+    conc = cost.cost_concentration(mpe[0])
+    # WEL001 600 + REF001 501 = 1101 of 1311.25 -> 83.97 %
+    assert cost.assets_to_reach(conc, 50).first().assets_needed == 2
+    assert cost.assets_to_reach(conc, 100).first().assets_needed == 6
+
+
+def test_sql_views(spark, mpe):
+    from assetlens.sources.files import register_views
+    register_views(spark, *mpe)
+    r = spark.sql("select count(*) n, count(distinct asset_class(asset_id)) k from v_asset_reliability").first()
+    assert (r.n, r.k) == (6, 4)
+    assert spark.sql("select count(*) c from maintenance where failure_type is null").first().c == 1
