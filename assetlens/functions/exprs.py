@@ -78,6 +78,10 @@ def unscaled(c, scale: int) -> Column:
     return c.cast("decimal(38,0)")
 
 
+def _times_pow10(c: Column, k: int) -> Column:
+    return c * F.lit(Decimal(10) ** k) if k else c
+
+
 def _scaled_back(q: Column, digits: int, precision: int) -> Column:
     q = q.cast("decimal(38,0)")
     if digits:
@@ -90,18 +94,20 @@ def round_ratio(num, den, digits: int, num_scale: int = 0, den_scale: int = 0,
     """``ROUND(num / den, digits)`` exactly, half away from zero.
 
     ``num`` and ``den`` are decimal or integral columns with ``num_scale`` /
-    ``den_scale`` fractional digits. The quotient is formed on the unscaled
-    integers with ``div`` so no intermediate rounding can move a value across
-    a half-unit boundary. NULL or zero ``den`` gives NULL (callers that need
-    PostgreSQL's error instead guard with ``nullif`` like the reference).
+    ``den_scale`` fractional digits. On the unscaled integers ``a / b`` the
+    result is ``(2 * a * 10^digits + sign(a) * |b|) div (2 * b)``: ``div``
+    truncates toward zero, so adding half of ``|b|`` in the direction of the
+    numerator rounds half away from zero for every sign combination, and no
+    intermediate rounding can move a value across a half-unit boundary. NULL
+    or zero ``den`` gives NULL (callers that need PostgreSQL's error instead
+    guard with ``nullif`` like the reference).
     """
-    a = unscaled(num, num_scale) * F.lit(Decimal(10) ** den_scale)
-    b = unscaled(den, den_scale) * F.lit(Decimal(10) ** num_scale)
+    a = _times_pow10(unscaled(num, num_scale), den_scale)
+    b = _times_pow10(unscaled(den, den_scale), num_scale)
     b = F.when(b != 0, b)
-    a2 = F.abs(a) * F.lit(2 * 10 ** digits) + F.abs(b)
-    q = F.call_function("div", a2.cast("decimal(38,0)"),
-                        (F.abs(b) * F.lit(2)).cast("decimal(38,0)"))
-    q = F.when((a < 0) != (b < 0), -q).otherwise(q)
+    half = F.when(a < 0, -F.abs(b)).when(a > 0, F.abs(b)).otherwise(F.lit(0))
+    q = F.call_function("div", (a * F.lit(2 * 10 ** digits) + half).cast("decimal(38,0)"),
+                        (b * F.lit(2)).cast("decimal(38,0)"))
     return _scaled_back(q, digits, precision)
 
 
