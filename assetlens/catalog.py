@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cost, legacy, quality, reliability, risk
+from .sources import contract
 from .sources import projection as proj
 
 # s = string, i = bigint, f = double, d = date as ISO text
@@ -123,6 +124,11 @@ CONTRACT: dict[str, list[tuple[str, str]]] = {
                               ("cost", "f")],
     "rule_ladder": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"), ("cost", "f"),
                     ("maintenance_action", "s")],
+    "priority_inversions": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"),
+                            ("maintenance_action", "s"), ("risk_score", "f"),
+                            ("recommended_action", "s")],
+    "maintenance_keyed": [("maintenance_id", "i"), ("asset_id", "s"), ("maintenance_date", "d"),
+                          ("cost_usd", "f"), ("failure_type", "s"), ("downtime_hours", "i")],
 }
 
 _SPARK_TYPES = {"s": "string", "i": "bigint", "f": "double"}
@@ -190,6 +196,9 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fanout_audit": _mpe(legacy.fanout_audit),
     "fixed_threshold_flags": _m(legacy.fixed_threshold_flags),
     "rule_ladder": _m(legacy.rule_ladder),
+    "priority_inversions": lambda spark, d: legacy.priority_inversions(
+        legacy.rule_ladder(proj.maintenance(spark, d)), _scored(spark, d)),
+    "maintenance_keyed": lambda spark, d: contract.with_surrogate_key(proj.maintenance(spark, d)),
 }
 
 

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_query_has_an_oracle_and_contract():
     assert set(E.queries()) == set(E.oracle_sql()) == set(CONTRACT)
-    assert len(E.queries()) == 30
+    assert len(E.queries()) == 32
 
 
 def test_entry_runs(spark):
