@@ -182,8 +182,28 @@ def with_ntile(df: DataFrame, order: list[Column], k: int, name: str,
     return p.withColumn(name, ntile_of("_pos", "_n", k)).drop("_pos", "_n")
 
 
+def _check_exact(df: DataFrame, metrics: list[str], value_type: str) -> None:
+    """Stacking casts every metric to ``value_type``; refuse casts that lose digits."""
+    from pyspark.sql import types as T
+    target = T._parse_datatype_string(value_type)
+    if not isinstance(target, T.DecimalType):
+        return
+    int_digits = target.precision - target.scale
+    for c in metrics:
+        t = df.schema[c].dataType
+        if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            ok = int_digits >= 19
+        elif isinstance(t, T.DecimalType):
+            ok = t.scale <= target.scale and t.precision - t.scale <= int_digits
+        else:
+            ok = False
+        if not ok:
+            raise TypeError(f"metric {c} ({t.simpleString()}) does not fit {value_type} exactly")
+
+
 def _stack(df: DataFrame, metrics: list[str], value_type: str, keep: list[str]) -> DataFrame:
     """One row per (row, metric): ``_metric`` index and ``_value`` cast to a common type."""
+    _check_exact(df, metrics, value_type)
     parts = [F.struct(F.lit(i).alias("_metric"), F.col(c).cast(value_type).alias("_value"))
              for i, c in enumerate(metrics)]
     return df.select(*keep, F.explode(F.array(*parts)).alias("_s")).select(

@@ -102,3 +102,12 @@ def test_surrogate_key_is_dense_and_stable(spark):
     b = {(r.asset_id): r.maintenance_id for r in with_surrogate_key(df.repartition(7)).collect()}
     assert sorted(a.values()) == list(range(1, 121))
     assert a == b
+
+
+def test_stacking_refuses_lossy_types(spark):
+    df = spark.createDataFrame([("A", 1.5)], "asset_id string, x double")
+    with pytest.raises(TypeError):
+        ranking.rank_tables(df, ["x"])
+    df = spark.createDataFrame([("A", D("1.1234567"))], "asset_id string, x decimal(20,7)")
+    with pytest.raises(TypeError):
+        ranking.with_ntiles(df, [("q", "x", True, True)], 4)
