@@ -186,6 +186,24 @@ def risk_scores(view: DataFrame, weights=DEFAULT_WEIGHTS, cutoffs=DEFAULT_CUTOFF
             .orderBy(desc("risk_score"), asc("asset_id")))
 
 
+# Fixed labels for the main-driver helper, one per score component.
+DRIVER_LABELS = ("downtime", "frequency", "cost")
+
+
+def with_main_driver(scored: DataFrame) -> DataFrame:
+    """Add ``main_driver``: the component contributing most to the score.
+
+    Ties go to the earlier component (downtime, then frequency, then cost),
+    the order of the weights.
+    """
+    d, f, c = (F.col(x) for x in ("downtime_contribution", "frequency_contribution",
+                                  "cost_contribution"))
+    top = (F.when((d >= f) & (d >= c), DRIVER_LABELS[0])
+           .when(f >= c, DRIVER_LABELS[1])
+           .otherwise(DRIVER_LABELS[2]))
+    return scored.withColumn("main_driver", top)
+
+
 def action_bands(scored: DataFrame) -> DataFrame:
     """3.5 Workload per action band (at most four groups)."""
     g = scored.groupBy("recommended_action").agg(

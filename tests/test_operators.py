@@ -194,3 +194,10 @@ def test_sql_views(spark, mpe):
     r = spark.sql("select count(*) n, count(distinct asset_class(asset_id)) k from v_asset_reliability").first()
     assert (r.n, r.k) == (6, 4)
     assert spark.sql("select count(*) c from maintenance where failure_type is null").first().c == 1
+
+
+def test_main_driver(mpe):
+    scored = risk.with_main_driver(risk.risk_scores(risk.asset_reliability(*mpe)))
+    drivers = {r.asset_id: r.main_driver for r in scored.collect()}
+    # REF001: 40.0 downtime, 24.0 frequency, 16.0 cost; WEL001: 0, 30.0, 20.0
+    assert drivers["REF001"] == "downtime" and drivers["WEL001"] == "frequency"

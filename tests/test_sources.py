@@ -76,3 +76,16 @@ def test_projection_shapes(spark):
     assert m.count() == lineitem                       # every event row is used
     assert p.where("left(well_id, 3) <> 'WEL'").count() == 0
     assert dict(zip(m.schema.names, [f.dataType.simpleString() for f in m.schema.fields]))["cost_usd"] == "decimal(14,2)"
+
+
+def test_reliability_mart_partitioned_by_class(spark):
+    from fixtures import tables
+    from assetlens.operators import risk
+    view = risk.asset_reliability(*tables(spark))
+    out = os.path.join(tempfile.mkdtemp(prefix="assetlens-mart-"), "v_asset_reliability")
+    files.write_table(view, out, partition_by=["asset_type"])
+    files.write_table(view, out, partition_by=["asset_type"])      # rebuild is idempotent
+    wells = spark.read.parquet(out).where("asset_type = 'Well'")
+    plan = wells._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(asset_type" in plan and "Well" in plan
+    assert wells.count() == 3
