@@ -43,9 +43,12 @@ def with_surrogate_key(df: DataFrame, name: str = "maintenance_id",
                        order: list[str] | None = None) -> DataFrame:
     """Dense, increasing 1-based id over the natural columns.
 
-    Numbered with distributed range buckets (no single-task window); the id
-    only depends on the row values, so it is stable across runs.
+    Numbered with distributed range buckets (no single-task window). Rows
+    with equal natural columns are interchangeable, so a row id breaks their
+    ties: a block of identical rows, even a third of the table, is spread
+    over several buckets. Every distinct row gets the same ids on every run.
     """
     cols = order or df.columns
-    keyed = positions(df, [F.col(c).asc_nulls_last() for c in cols])
-    return keyed.withColumnRenamed("_pos", name).drop("_n").select(name, *df.columns)
+    tagged = df.withColumn("_tie", F.monotonically_increasing_id())
+    keyed = positions(tagged, [F.col(c).asc_nulls_last() for c in cols] + [F.col("_tie").asc()])
+    return keyed.withColumnRenamed("_pos", name).drop("_n", "_tie").select(name, *df.columns)

@@ -111,3 +111,15 @@ def test_stacking_refuses_lossy_types(spark):
     df = spark.createDataFrame([("A", D("1.1234567"))], "asset_id string, x decimal(20,7)")
     with pytest.raises(TypeError):
         ranking.with_ntiles(df, [("q", "x", True, True)], 4)
+
+
+def test_surrogate_key_splits_identical_rows(spark):
+    from assetlens.sources.contract import with_surrogate_key
+    # a third of the rows are one identical record
+    rows = [("HOT", 1)] * 300 + [(f"A{i:04d}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "asset_id string, v long").repartition(6)
+    keyed = with_surrogate_key(df)
+    ids = sorted(r.maintenance_id for r in keyed.collect())
+    assert ids == list(range(1, 901))
+    hot = sorted(r.maintenance_id for r in keyed.where("asset_id = 'HOT'").collect())
+    assert hot == list(range(601, 901))     # 'HOT' sorts after every 'A....'
