@@ -95,13 +95,18 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None
     (read from the written table, so the input is not recomputed).
     """
     sums = sums or {}
-    nb = max(1, min(buckets or default_buckets(df.sparkSession), MAX_BUCKETS))
     base = df
     for name, col in sums.items():
         base = base.withColumn(f"_v_{name}", col)
+    if buckets is None and default_buckets(df.sparkSession) < MAX_BUCKETS:
+        # Let AQE size the buckets: it may merge adjacent range partitions
+        # (bucket order stays monotone), so small inputs use few buckets and
+        # large ones get partitions near the advisory size.
+        ranged = base.repartitionByRange(*order)
+    else:
+        ranged = base.repartitionByRange(max(1, min(buckets or MAX_BUCKETS, MAX_BUCKETS)), *order)
     numbered = materialize(
-        base.repartitionByRange(nb, *order)
-        .sortWithinPartitions(*order)
+        ranged.sortWithinPartitions(*order)
         .withColumn("_rid", F.monotonically_increasing_id()))
     if count_rows is not None:
         count_rows.append(numbered.count())   # row count of the written table
@@ -283,7 +288,7 @@ def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
     """
     metrics = [value for _, value, _, _ in specs]
     # every input column rides along, so the input is computed once (in the
-    # checkpoint of the ranking pass) and not again for the result
+    # written table of the ranking pass) and not again for the result
     stacked = _stack(df, metrics, value_type, df.columns)
     # one sort for all metrics: flip ascending metrics, place NULLs explicitly
     key, nulls_rank = F.col("_value"), F.lit(1)
