@@ -38,20 +38,27 @@ BROADCAST_ROWS = 2_000_000  # rank tables up to this many rows are broadcast
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only local runs get a temp one."""
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:        # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is None:
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is required")
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-        return configured
+        return sc.getCheckpointDir() or configured
     if not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; a shared folder is required on a cluster")
     path = tempfile.mkdtemp(prefix="assetlens-ckpt-")
     sc.setCheckpointDir(path)
-    return path
+    return sc.getCheckpointDir() or path
 
 
 def materialize(df: DataFrame) -> DataFrame:
