@@ -87,3 +87,24 @@ def test_csv_route_equals_parquet_route(spark, mpe):
     a = risk.risk_scores(risk.asset_reliability(m, p, e)).collect()
     b = risk.risk_scores(risk.asset_reliability(*mpe)).collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_hot_asset_holding_a_third_of_events(spark, mpe):
+    m, p, e = mpe
+    n = m.count()
+    # copy one asset's events until it holds about a third of the table
+    first = m.select("asset_id").orderBy("asset_id").first().asset_id
+    base = m.where(F.col("asset_id") == first)
+    k = max(1, (n // 2) // base.count())
+    copies = base.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(k)))).drop("_c")
+    skewed = m.where(F.col("asset_id") != first).unionByName(copies)
+    share = skewed.where(F.col("asset_id") == first).count() / skewed.count()
+    assert share > 0.3
+    rows = {r.asset_id: r for r in cost.cost_by_asset(skewed).collect()}
+    want = copies.agg(F.count(F.lit(1)).alias("n"), F.sum("cost_usd").alias("c")).first()
+    assert (rows[first].maintenance_events, rows[first].total_maintenance_cost) == (want.n, want.c)
+    plan = cost.cost_by_asset(skewed)._jdf.queryExecution().executedPlan().toString()
+    # partial aggregation runs before the shuffle on asset_id (map-side combine)
+    assert plan.index("partial_count") > plan.index("Exchange hashpartitioning(asset_id")
+    scored = risk.risk_scores(risk.asset_reliability(skewed, p, e)).collect()
+    assert len(scored) == len(rows)
