@@ -11,7 +11,7 @@ from ..functions.exprs import asc, asset_class, desc, pct, round_ratio
 from ..plans import ranking
 from ..plans.summaries import (emissions_by_asset, maintenance_by_asset_with_mode,
                                production_by_well)
-from ..sources.schemas import COST_SCALE, EMISSIONS_SCALE
+from ..sources.schemas import EMISSIONS_SCALE
 
 # Fixed values that must equal the reference.
 # Score weights (downtime, frequency, cost) and band cut-offs on the rounded score.

@@ -1,6 +1,5 @@
 """Driver contract: entry smoke check, oracle agreement and plan shape."""
 
-import pytest
 
 import __spark_entry__ as E
 from assetlens.catalog import CONTRACT

@@ -3,7 +3,6 @@
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from assetlens.functions.exprs import asset_class
 from assetlens.operators import cost, legacy, quality, reliability, risk
