@@ -335,19 +335,19 @@ def percentile_conts(df: DataFrame, metrics: list[str], fraction: float,
             .groupBy("_metric", "_value").agg(F.count(F.lit(1)).alias("_cnt")))
     ranked = positions(hist, [F.col("_metric").asc(), F.col("_value").asc()],
                        sums={"cnt": F.col("_cnt")}, buckets=buckets, within="_metric")
-    totals = dict(ranked.groupBy("_metric").agg(F.max("_tot_cnt")).collect())
-    wanted, cond = {}, F.lit(False)
-    for i in range(len(metrics)):
-        n = totals.get(i)
-        if not n:
-            continue
-        pos = fraction * float(n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        wanted[i] = (pos, lo, hi)
-        for kpos in {lo, hi}:
-            cond = cond | ((F.col("_metric") == i) & (F.col("_cum_cnt") - F.col("_cnt") <= kpos)
-                           & (F.col("_cum_cnt") > kpos))
-    rows = ranked.where(cond).select("_metric", "_value", "_cnt", "_cum_cnt").collect()
+    # fraction * (n - 1) in double, as PostgreSQL computes it (IEEE, same as Python)
+    pos = F.lit(float(fraction)) * (F.col("_tot_cnt") - F.lit(1)).cast("double")
+    first = F.floor(pos).cast("long")
+    second = F.ceil(pos).cast("long")
+    start = F.col("_cum_cnt") - F.col("_cnt")          # 0-based first position of the value
+    covers = lambda k: (start <= k) & (F.col("_cum_cnt") > k)
+    rows = (ranked.where(covers(first) | covers(second))
+            .select("_metric", "_value", "_cnt", "_cum_cnt", "_tot_cnt").collect())
+    wanted = {}
+    for r in rows:
+        n = r["_tot_cnt"]
+        p = fraction * float(n - 1)
+        wanted[r["_metric"]] = (p, math.floor(p), math.ceil(p))
 
     def at(i, kpos):
         for r in rows:
