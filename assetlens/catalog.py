@@ -144,68 +144,55 @@ def conform(df: DataFrame, key: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _m(fn):
-    return lambda spark, d: fn(proj.maintenance(spark, d))
-
-
-def _mp(fn):
-    return lambda spark, d: fn(proj.maintenance(spark, d), proj.production(spark, d))
-
-
-def _mpe(fn):
-    return lambda spark, d: fn(*proj.tables(spark, d))
-
-
-def _view(spark: SparkSession, d: str) -> DataFrame:
-    return risk.asset_reliability(*proj.tables(spark, d))
-
-
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return risk.risk_scores(_view(spark, d))
-
-
-BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "dq_row_counts": _mpe(quality.row_counts),
-    "dq_asset_types": _m(quality.asset_types),
-    "dq_join_coverage": _mp(quality.join_coverage),
-    "dq_rows_per_key": lambda spark, d: quality.rows_per_key(proj.production(spark, d),
-                                                             proj.emissions(spark, d)),
-    "dq_nulls_ranges": _m(quality.nulls_and_ranges),
-    "cost_by_asset": _m(cost.cost_by_asset),
-    "cost_concentration": _m(cost.cost_concentration),
-    "cost_by_type": _m(cost.cost_by_type),
-    "cost_vs_production": _mp(cost.cost_vs_production),
-    "wells_without_production": _mp(cost.wells_without_production),
-    "cost_efficiency_bands": _mp(cost.cost_efficiency_bands),
-    "cost_yearly": _m(cost.cost_yearly),
-    "failure_cadence": _m(reliability.failure_cadence),
-    "downtime_by_asset": _m(reliability.downtime_by_asset),
-    "downtime_concentration": _m(reliability.downtime_concentration),
-    "failure_modes": _m(reliability.failure_modes),
-    "failure_modes_by_type": _m(reliability.failure_modes_by_type),
-    "downtime_vs_production": _mp(reliability.downtime_vs_production),
-    "high_downtime_high_output": _mp(reliability.high_downtime_high_output),
-    "reliability_yearly": _m(reliability.reliability_yearly),
-    "asset_reliability": _view,
-    "emissions_failures": lambda spark, d: risk.emissions_failures(_view(spark, d)),
-    "emissions_quartiles": lambda spark, d: risk.emissions_quartiles(_view(spark, d)),
-    "dual_p90": lambda spark, d: risk.dual_p90(_view(spark, d)),
+def _scored(m: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
+    return risk.risk_scores(risk.asset_reliability(m, p, e))
+
+
+# Every named query as a function of the three domain tables (maintenance,
+# production, emissions). Unused inputs cost nothing: DataFrames are lazy.
+OPERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
+    "dq_row_counts": lambda m, p, e: quality.row_counts(m, p, e),
+    "dq_asset_types": lambda m, p, e: quality.asset_types(m),
+    "dq_join_coverage": lambda m, p, e: quality.join_coverage(m, p),
+    "dq_rows_per_key": lambda m, p, e: quality.rows_per_key(p, e),
+    "dq_nulls_ranges": lambda m, p, e: quality.nulls_and_ranges(m),
+    "cost_by_asset": lambda m, p, e: cost.cost_by_asset(m),
+    "cost_concentration": lambda m, p, e: cost.cost_concentration(m),
+    "cost_by_type": lambda m, p, e: cost.cost_by_type(m),
+    "cost_vs_production": lambda m, p, e: cost.cost_vs_production(m, p),
+    "wells_without_production": lambda m, p, e: cost.wells_without_production(m, p),
+    "cost_efficiency_bands": lambda m, p, e: cost.cost_efficiency_bands(m, p),
+    "cost_yearly": lambda m, p, e: cost.cost_yearly(m),
+    "failure_cadence": lambda m, p, e: reliability.failure_cadence(m),
+    "downtime_by_asset": lambda m, p, e: reliability.downtime_by_asset(m),
+    "downtime_concentration": lambda m, p, e: reliability.downtime_concentration(m),
+    "failure_modes": lambda m, p, e: reliability.failure_modes(m),
+    "failure_modes_by_type": lambda m, p, e: reliability.failure_modes_by_type(m),
+    "downtime_vs_production": lambda m, p, e: reliability.downtime_vs_production(m, p),
+    "high_downtime_high_output": lambda m, p, e: reliability.high_downtime_high_output(m, p),
+    "reliability_yearly": lambda m, p, e: reliability.reliability_yearly(m),
+    "asset_reliability": lambda m, p, e: risk.asset_reliability(m, p, e),
+    "emissions_failures": lambda m, p, e: risk.emissions_failures(risk.asset_reliability(m, p, e)),
+    "emissions_quartiles": lambda m, p, e: risk.emissions_quartiles(risk.asset_reliability(m, p, e)),
+    "dual_p90": lambda m, p, e: risk.dual_p90(risk.asset_reliability(m, p, e)),
     "risk_scores": _scored,
-    "action_bands": lambda spark, d: risk.action_bands(_scored(spark, d)),
-    "worklist": lambda spark, d: risk.worklist(_scored(spark, d)),
-    "fanout_audit": _mpe(legacy.fanout_audit),
-    "fixed_threshold_flags": _m(legacy.fixed_threshold_flags),
-    "rule_ladder": _m(legacy.rule_ladder),
-    "priority_inversions": lambda spark, d: legacy.priority_inversions(
-        legacy.rule_ladder(proj.maintenance(spark, d)), _scored(spark, d)),
-    "maintenance_keyed": lambda spark, d: contract.with_surrogate_key(proj.maintenance(spark, d)),
+    "action_bands": lambda m, p, e: risk.action_bands(_scored(m, p, e)),
+    "worklist": lambda m, p, e: risk.worklist(_scored(m, p, e)),
+    "fanout_audit": lambda m, p, e: legacy.fanout_audit(m, p, e),
+    "fixed_threshold_flags": lambda m, p, e: legacy.fixed_threshold_flags(m),
+    "rule_ladder": lambda m, p, e: legacy.rule_ladder(m),
+    "priority_inversions": lambda m, p, e: legacy.priority_inversions(legacy.rule_ladder(m),
+                                                                      _scored(m, p, e)),
+    "maintenance_keyed": lambda m, p, e: contract.with_surrogate_key(m),
 }
 
 
 def query(key: str) -> Callable[[SparkSession, str], DataFrame]:
-    builder = BUILDERS[key]
-    return lambda spark, sf_dir: conform(builder(spark, sf_dir), key)
+    """``(spark, sf_dir) -> DataFrame``: the test tables projected onto the domain,
+    the operator over them, and the output contract applied."""
+    op = OPERATORS[key]
+    return lambda spark, sf_dir: conform(op(*proj.tables(spark, sf_dir)), key)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: query(key) for key in BUILDERS}
+    return {key: query(key) for key in OPERATORS}

@@ -108,3 +108,22 @@ def test_hot_asset_holding_a_third_of_events(spark, mpe):
     assert plan.index("partial_count") > plan.index("Exchange hashpartitioning(asset_id")
     scored = risk.risk_scores(risk.asset_reliability(skewed, p, e)).collect()
     assert len(scored) == len(rows)
+
+
+def test_command_line_runner(spark, mpe):
+    from assetlens.cli import main
+    src = tempfile.mkdtemp(prefix="assetlens-cli-in-")
+    paths = []
+    for name, df in zip(("maintenance", "production", "emissions"), mpe):
+        paths.append(os.path.join(src, name))
+        df.write.option("header", True).option("nullValue", "").option("emptyValue", '""') \
+            .csv(paths[-1])
+    out = os.path.join(tempfile.mkdtemp(prefix="assetlens-cli-out-"), "results")
+    assert main(["--maintenance", paths[0], "--production", paths[1], "--emissions", paths[2],
+                 "--query", "worklist", "--query", "dq_row_counts", "--validate",
+                 "--out", out]) == 0
+    got = spark.read.parquet(os.path.join(out, "worklist")).orderBy("priority").collect()
+    want = risk.worklist(risk.risk_scores(risk.asset_reliability(*mpe))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    counts = {r.table_name: r.row_count for r in spark.read.parquet(os.path.join(out, "dq_row_counts")).collect()}
+    assert counts["maintenance"] == mpe[0].count()
