@@ -84,8 +84,7 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None,
-              buckets: int | None = None, within: str | None = None,
-              count_rows: list | None = None) -> DataFrame:
+              buckets: int | None = None, within: str | None = None) -> DataFrame:
     """Add global 1-based ``_pos`` in ``order`` plus ``_n`` (row count).
 
     ``order`` must be a strict total order (end it with a unique column).
@@ -97,9 +96,6 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None
     and takes a handful of values (several metrics stacked into one frame):
     positions, counts and sums then restart for each of its values, so one
     range pass ranks several metrics. Sums must be non-null in that case.
-
-    If ``count_rows`` is a list, the number of input rows is appended to it
-    (read from the written table, so the input is not recomputed).
     """
     sums = sums or {}
     base = df
@@ -115,8 +111,6 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None
     numbered = materialize(
         ranged.sortWithinPartitions(*order)
         .withColumn("_rid", F.monotonically_increasing_id()))
-    if count_rows is not None:
-        count_rows.append(numbered.count())   # row count of the written table
     numbered = (numbered
                 .withColumn("_bucket", F.shiftright("_rid", _LOW_BITS))
                 .withColumn("_idx", F.col("_rid").bitwiseAND(F.lit(_LOW_MASK)))
@@ -229,7 +223,7 @@ def _stack(df: DataFrame, metrics: list[str], value_type: str, keep: list[str])
 
 
 def rank_tables(df: DataFrame, metrics: list[str], value_type: str = "decimal(38,6)",
-                buckets: int | None = None, count_rows: list | None = None) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """``RANK() OVER (ORDER BY m)`` (ascending, NULLs last as one peer group) for
     several metrics in one distributed pass.
 
@@ -240,40 +234,38 @@ def rank_tables(df: DataFrame, metrics: list[str], value_type: str = "decimal(38
     hist = (_stack(df, metrics, value_type, [])
             .groupBy("_metric", "_value").agg(F.count(F.lit(1)).alias("_cnt")))
     ranked = positions(hist, [F.col("_metric").asc(), F.col("_value").asc_nulls_last()],
-                       sums={"cnt": F.col("_cnt")}, buckets=buckets, within="_metric",
-                       count_rows=count_rows)
+                       sums={"cnt": F.col("_cnt")}, buckets=buckets, within="_metric")
     return ranked.select(
         "_metric", "_value",
         (F.col("_cum_cnt") - F.col("_cnt") + F.lit(1)).alias("_rank"),
         F.col("_tot_cnt").alias("_n"))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
-                       rows: int | None = None) -> DataFrame:
-    """Broadcast hint only after counting the rows (a proven size bound).
-
-    ``rows`` is a count already known (e.g. of a written table); otherwise the
-    frame is counted. Above the bound the frame is returned as is and the
-    join shuffles, with AQE splitting skewed partitions.
-    """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def with_ranks(df: DataFrame, metrics: dict[str, str], key: str = "asset_id",
                n_name: str = "_n", value_type: str = "decimal(38,6)",
                buckets: int | None = None) -> DataFrame:
     """Attach ``RANK`` of each metric column as ``metrics[col]`` and the row count.
 
-    The input is stacked (one copy per metric), joined once to the rank
-    tables on (metric, value) with NULL-safe equality, and folded back to one
-    row per ``key`` (unique). The copies of a row carry identical columns.
+    The rank tables (one row per distinct value of each metric) are written
+    once and counted. Within the broadcast bound each metric is attached by
+    a broadcast hash join on its value (NULL-safe), so the fleet is not
+    shuffled. Beyond it the fleet is stacked (one copy per metric), joined
+    once on (metric, value) with a shuffle (AQE splits skewed partitions),
+    and folded back to one row per ``key`` (unique).
     """
     cols = list(metrics)
-    counted: list[int] = []
-    rt = rank_tables(df, cols, value_type, buckets, count_rows=counted).select(
-        F.col("_metric").alias("_rm"), F.col("_value").alias("_rv"), "_rank", "_n")
-    rt = broadcast_if_small(rt, rows=counted[0])   # one rank-table row per histogram row
+    rt = materialize(rank_tables(df, cols, value_type, buckets).select(
+        F.col("_metric").alias("_rm"), F.col("_value").alias("_rv"), "_rank", "_n"))
+    if rt.count() <= BROADCAST_ROWS:
+        out = df
+        for i, c in enumerate(cols):
+            t = F.broadcast(rt.where(F.col("_rm") == i).select(
+                F.col("_rv").alias("_key"), F.col("_rank").alias(metrics[c]),
+                F.col("_n").alias(n_name if i == 0 else f"_n{i}")))
+            out = out.join(t, out[c].cast(value_type).eqNullSafe(t["_key"]), "inner").drop("_key")
+            if i:
+                out = out.drop(f"_n{i}")
+        return out
     stacked = _stack(df, cols, value_type, [key])
     j = stacked.join(rt, (stacked["_metric"] == rt["_rm"]) & stacked["_value"].eqNullSafe(rt["_rv"]),
                      "inner")

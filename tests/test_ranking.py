@@ -123,3 +123,16 @@ def test_surrogate_key_splits_identical_rows(spark):
     assert ids == list(range(1, 901))
     hot = sorted(r.maintenance_id for r in keyed.where("asset_id = 'HOT'").collect())
     assert hot == list(range(601, 901))     # 'HOT' sorts after every 'A....'
+
+
+def test_ranks_large_table_path(spark, monkeypatch):
+    # above the broadcast bound the fleet is stacked, shuffled and folded back
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+    df = _data(spark, 150, 77)
+    got = ranking.with_ranks(df, {"v": "rv", "c": "rc"}, buckets=3)
+    want = df.select(
+        "asset_id",
+        F.rank().over(Window.orderBy(F.col("v").asc_nulls_last())).alias("rv"),
+        F.rank().over(Window.orderBy(F.col("c").asc_nulls_last())).alias("rc"))
+    assert ({r.asset_id: (r.rv, r.rc, r._n) for r in got.collect()}
+            == {r.asset_id: (r.rv, r.rc, 150) for r in want.collect()})
