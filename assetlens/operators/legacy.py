@@ -46,21 +46,25 @@ def fanout_audit(m: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
            .join(es, ms["asset_id"] == es["e_id"], "left"))
     n_p = F.coalesce(F.col("n_p"), F.lit(0))
     n_e = F.coalesce(F.col("n_e"), F.lit(0))
-    rep_p = F.greatest(n_p, F.lit(1))
-    rep_e = F.greatest(n_e, F.lit(1))
+    # products of counts can pass 2^63 long before the raw join would be
+    # attempted, so they are formed as decimal(38,0)
+    big = lambda c: c.cast("decimal(38,0)")
+    rep_p = big(F.greatest(n_p, F.lit(1)))
+    rep_e = big(F.greatest(n_e, F.lit(1)))
     return j.select(
         "asset_id",
         asset_class("asset_id").alias("asset_type"),
         F.col("events").alias("maintenance_events"),
         n_p.alias("production_readings"),
         n_e.alias("emissions_readings"),
-        (F.col("events") * rep_p * rep_e).alias("joined_rows"),
+        (big(F.col("events")) * rep_p * rep_e).cast("decimal(38,0)").alias("joined_rows"),
         F.col("total_downtime").alias("true_downtime_hours"),
-        (F.col("total_downtime") * rep_p).alias("joined_downtime_hours"),
+        (big(F.col("total_downtime")) * rep_p).cast("decimal(38,0)").alias("joined_downtime_hours"),
         F.col("total_cost").alias("true_maintenance_cost"),
         (F.col("total_cost") * rep_p).cast("decimal(38,2)").alias("joined_maintenance_cost"),
         F.col("total_oil").alias("true_oil_barrels"),
-        (F.col("total_oil") * F.col("events")).alias("joined_oil_barrels"),
+        (big(F.col("total_oil")) * big(F.col("events"))).cast("decimal(38,0)")
+        .alias("joined_oil_barrels"),
     ).orderBy(desc("joined_rows"), asc("asset_id"))
 
 
