@@ -23,6 +23,7 @@ from pyspark.sql import SparkSession
 
 from .catalog import OPERATORS
 from .functions.exprs import register_sql_functions
+from .plans.ranking import drop_written_tables
 from .sources import contract, files, schemas
 
 
@@ -70,6 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(f"== {key}")
             df.show(args.show, truncate=False)
+    drop_written_tables(spark)      # intermediate ranking tables are no longer needed
     return 0
 
 

@@ -75,9 +75,28 @@ def materialize(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/assetlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_written_tables(spark: SparkSession) -> int:
+    """Delete the tables :func:`materialize` wrote from this process; returns how many.
+
+    Call it once no DataFrame that reads them will be evaluated again (the
+    command-line runner does so after writing every result).
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            dropped += 1
+    return dropped
+
+
 def default_buckets(spark: SparkSession) -> int:
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(1, min(n, MAX_BUCKETS))
