@@ -181,8 +181,7 @@ OPERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "fanout_audit": lambda m, p, e: legacy.fanout_audit(m, p, e),
     "fixed_threshold_flags": lambda m, p, e: legacy.fixed_threshold_flags(m),
     "rule_ladder": lambda m, p, e: legacy.rule_ladder(m),
-    "priority_inversions": lambda m, p, e: legacy.priority_inversions(legacy.rule_ladder(m),
-                                                                      _scored(m, p, e)),
+    "priority_inversions": lambda m, p, e: legacy.priority_inversions(_scored(m, p, e)),
     "maintenance_keyed": lambda m, p, e: contract.with_surrogate_key(m),
 }
 

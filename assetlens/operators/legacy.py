@@ -83,28 +83,42 @@ def fixed_threshold_flags(m: DataFrame, min_events: int = FIXED_MIN_EVENTS,
     ).orderBy(desc("downtime"), asc("asset_id"))
 
 
-def rule_ladder(m: DataFrame, ladder=LADDER, otherwise: str = LADDER_ELSE) -> DataFrame:
-    """Original query 9: first matching rule wins (count first, then hours)."""
-    s = maintenance_by_asset(m)
-    metric = {"events": F.col("events"), "hours": F.col("total_downtime")}
+def ladder_action(events, hours, ladder=LADDER, otherwise: str = LADDER_ELSE):
+    """The ladder as a Column: the first rule whose metric exceeds its threshold wins."""
+    metric = {"events": events, "hours": hours}
     action = None
     for what, threshold, label in ladder:
         cond = metric[what] > threshold
         action = F.when(cond, label) if action is None else action.when(cond, label)
+    return action.otherwise(otherwise)
+
+
+def rule_ladder(m: DataFrame, ladder=LADDER, otherwise: str = LADDER_ELSE) -> DataFrame:
+    """Original query 9: first matching rule wins (count first, then hours)."""
+    s = maintenance_by_asset(m)
     return s.select(
         "asset_id",
         F.col("events").alias("failures"),
         F.col("total_downtime").alias("downtime"),
         F.col("total_cost").alias("cost"),
-        action.otherwise(otherwise).alias("maintenance_action"),
+        ladder_action(F.col("events"), F.col("total_downtime"), ladder, otherwise)
+        .alias("maintenance_action"),
     ).orderBy(asc("asset_id"))
 
 
-def priority_inversions(ladder: DataFrame, scored: DataFrame) -> DataFrame:
+def priority_inversions(scored: DataFrame, ladder=LADDER,
+                        otherwise: str = LADDER_ELSE) -> DataFrame:
     """Ladder label next to the score band for every asset, to spot inversions.
 
-    Both inputs are asset grain (one row per asset), so the join cannot fan out.
+    The scored fleet (3.4) already carries each asset's event count and
+    downtime, so the ladder is labelled on it directly: no second pass over
+    the events and no join.
     """
-    return ladder.select("asset_id", "failures", "downtime", "maintenance_action").join(
-        scored.select("asset_id", "risk_score", "recommended_action"), "asset_id", "inner",
+    return scored.select(
+        "asset_id",
+        F.col("failure_count").alias("failures"),
+        F.col("total_downtime_hours").alias("downtime"),
+        ladder_action(F.col("failure_count"), F.col("total_downtime_hours"), ladder, otherwise)
+        .alias("maintenance_action"),
+        "risk_score", "recommended_action",
     ).orderBy(desc("risk_score"), asc("asset_id"))

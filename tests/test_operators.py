@@ -200,3 +200,13 @@ def test_main_driver(mpe):
     drivers = {r.asset_id: r.main_driver for r in scored.collect()}
     # REF001: 40.0 downtime, 24.0 frequency, 16.0 cost; WEL001: 0, 30.0, 20.0
     assert drivers["REF001"] == "downtime" and drivers["WEL001"] == "frequency"
+
+
+def test_priority_inversions(mpe):
+    rows = by(legacy.priority_inversions(risk.risk_scores(risk.asset_reliability(*mpe))).collect())
+    # the ladder puts WEL001 first (4 events) while the score ranks REF001 (600 h) higher
+    assert (rows["WEL001"].maintenance_action, rows["WEL001"].recommended_action) == (
+        "Immediate Maintenance Required", "4. No action")
+    assert (rows["REF001"].maintenance_action, rows["REF001"].recommended_action) == (
+        "High Risk", "3. Monitor")
+    assert rows["REF001"].risk_score > rows["WEL001"].risk_score
