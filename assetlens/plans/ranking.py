@@ -193,11 +193,13 @@ def ntile_of(pos, n, k: int) -> Column:
     The first ``n % k`` tiles hold one extra row, as in PostgreSQL and Spark.
     """
     pos, n = F.col(pos) if isinstance(pos, str) else pos, F.col(n) if isinstance(n, str) else n
-    q = F.floor(n / F.lit(k)).cast("long")
-    r = (n - q * F.lit(k)).cast("long")
+    div = lambda a, b: F.call_function("div", a.cast("long"), b.cast("long"))   # exact integers
+    q = div(n, F.lit(k))
+    r = n - q * F.lit(k)
     big = r * (q + F.lit(1))
-    return (F.when(pos <= big, F.floor((pos - F.lit(1)) / (q + F.lit(1))) + F.lit(1))
-            .otherwise(r + F.floor((pos - F.lit(1) - big) / q) + F.lit(1))).cast("int")
+    # when n < k every row is in the first branch, so q = 0 is never a divisor
+    return (F.when(pos <= big, div(pos - F.lit(1), q + F.lit(1)) + F.lit(1))
+            .otherwise(r + div(pos - F.lit(1) - big, q) + F.lit(1))).cast("int")
 
 
 def with_row_number(df: DataFrame, order: list[Column], name: str,
