@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .textops import LOWER, SHAPES, chunks, hash_spans, mix, segment_sums, tokens
+from .textops import LOWER, SHAPES, chunks, hash_spans, mix, tokens
 
 BUCKETS, DIMS, NONZERO = 1 << 13, 32, 4
 SAMPLE = 16_384               # labelled rows that the network is fitted on, at most
 HIDDEN, EPOCHS = 32, 40
+POOL_BYTES, POOL_ROWS = 256 << 10, 128   # texts pooled at once
 ACCEPT = 0.3                  # documents that score less are rejected
 FEATURES = 2 * DIMS + SHAPES + 2
 
@@ -82,20 +83,23 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Feature row of each text."""
+    """Feature row of each text, from its counts per bucket and one matrix product."""
+    both = np.hstack([vectors, vectors * vectors])
     out = [np.zeros((0, FEATURES), np.float32)]
-    for _, _, data, offsets in chunks(column):
+    for _, _, data, offsets in chunks(column, POOL_BYTES):
         start, end, shape, bounds = tokens(data, offsets)
         bucket = _buckets(data, start, end)
-        count = np.diff(bounds)
-        n = np.maximum(count, 1)[:, None]
-        own = vectors[bucket]
-        mean = segment_sums(own, bounds) / n
-        spread = np.sqrt(np.maximum(segment_sums(own * own, bounds) / n - mean * mean, 0))
-        shares = segment_sums(np.eye(SHAPES, dtype=np.float32)[shape], bounds) / n
-        doc = np.repeat(np.arange(len(count)), count)
-        distinct = np.bincount(np.unique(doc * BUCKETS + bucket) // BUCKETS, minlength=len(count))
-        out.append(np.hstack([mean, spread, shares, distinct[:, None] / n, np.log1p(count)[:, None]]).astype(np.float32))
+        for lo in range(0, len(bounds) - 1, POOL_ROWS):
+            cut = bounds[lo:lo + POOL_ROWS + 1]
+            size = np.diff(cut)
+            doc, rows = np.repeat(np.arange(len(size)), size), len(size)
+            counts = np.bincount(doc * BUCKETS + bucket[cut[0]:cut[-1]], minlength=rows * BUCKETS).reshape(rows, BUCKETS)
+            n = np.maximum(size, 1)[:, None]
+            sums = counts.astype(np.float32) @ both / n
+            mean = sums[:, :DIMS]
+            shares = np.bincount(doc * SHAPES + shape[cut[0]:cut[-1]], minlength=rows * SHAPES).reshape(rows, SHAPES) / n
+            out.append(np.hstack([mean, np.sqrt(np.maximum(sums[:, DIMS:] - mean * mean, 0)), shares,
+                                  np.count_nonzero(counts, axis=1)[:, None] / n, np.log1p(size)[:, None]]).astype(np.float32))
     return np.concatenate(out)
 
 

@@ -148,10 +148,3 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     shape = np.where(mark, np.where(size > 1, 5, 4),
                      np.where(digit == size, 3, np.where((upper > 1) & (lower == 0), 2, np.where(upper > 0, 1, 0))))
     return start, end, shape, np.searchsorted(start, offsets)
-
-
-def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` (rows) within each [bounds[k], bounds[k + 1]); 0 where empty."""
-    sums = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, dtype=np.float64, out=sums[1:])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
