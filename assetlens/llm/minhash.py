@@ -11,9 +11,9 @@ Shape of the job:
 
 * Equal sets collapse first (a 128-bit digest of the set, map-side minimum),
   so a group of exact copies is one representative from there on.
-* A bucket never becomes all pairs. A linear pass compares every member with
-  three fixed hubs of its bucket and verifies the best-estimated ones. What
-  is then connected needs no further pairs; in buckets that still hold
+* A bucket never becomes all pairs. A linear pass verifies every member with
+  the hubs (least ids) of its buckets that it shares most bands with. What is
+  then connected needs no further pairs; in buckets that still hold
   several components, members outside the largest one are compared with all
   others, in salted blocks, best estimates first, in geometrically growing
   slices until every cross-component candidate was decided.
@@ -43,7 +43,7 @@ BITS = 2
 ROWS = 4                       # minima per band: 32 bands miss a pair at 0.75 with probability 5e-6
 MARGIN = 0.22                  # of the estimate, 4.6 standard errors at 0.75
 BLOCK = 8192                   # members of a bucket compared by one task at a time
-HUBS = 2                       # best hubs that the linear pass verifies per member
+HUBS = 2                       # hubs that the linear pass verifies per member
 FIRST_SLICE, SLICE_GROWTH = 4, 16
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
@@ -104,13 +104,12 @@ def _rows(column) -> np.ndarray:
 
 
 def _estimate(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, sa, sb) with their estimate, without those below ``least``."""
+    """The pairs (a, b) of (a, b, sa, sb) whose estimate is ``least`` or more."""
     def run(frames):
         for f in frames:
             if len(f):
-                f["est"] = estimates(_rows(f.sa), _rows(f.sb))
-                yield f.loc[f.est >= least, ["a", "b", "est"]]
-    return pairs.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, est double")
+                yield f.loc[estimates(_rows(f.sa), _rows(f.sb)) >= least, ["a", "b"]]
+    return pairs.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
 def _cross(members: DataFrame, lo: int, hi: int, least: float, blocks: DataFrame) -> DataFrame:
@@ -123,25 +122,30 @@ def _cross(members: DataFrame, lo: int, hi: int, least: float, blocks: DataFrame
     when components merge. A query with candidates beyond ``hi`` adds a row
     with a = b.
     """
+    parts = max(1, members.count() // BLOCK)
     dealt = members.join(blocks, "key").withColumn("query", F.expr("comp <> main")) \
         .withColumn("block", F.explode(F.expr(
-            "CASE WHEN comp <> main THEN sequence(0, n - 1) ELSE array(CAST(pmod(xxhash64(id), n) AS INT)) END")))
+            "CASE WHEN comp <> main THEN sequence(0, n - 1) ELSE array(CAST(pmod(xxhash64(id), n) AS INT)) END"))) \
+        .withColumn("part", F.pmod(F.xxhash64("key", "block"), F.lit(parts)))
 
     def run(f):
-        f = f.sort_values("id", ignore_index=True)
-        sig, ids, comps = _rows(f.sig), f.id.to_numpy(), f.comp.to_numpy()
-        a, b = [], []
-        for q in np.flatnonzero(f["query"].to_numpy()):
-            est = estimates(sig[q], sig)
-            order = np.argsort(-est, kind="stable")
-            wanted = (est[order] >= least) & (comps[order] != comps[q])
-            found = order[lo:hi][wanted[lo:hi]]
-            if wanted[hi:].any():
-                found = np.append(found, q)
-            a.append(np.full(len(found), ids[q]))
-            b.append(ids[found])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": [], "b": []})
-    return dealt.select("key", "block", "id", "comp", "sig", "query").groupBy("key", "block") \
+        f = f.sort_values(["key", "block", "id"], ignore_index=True)
+        sig, ids, comps, query = _rows(f.sig), f.id.to_numpy(), f.comp.to_numpy(), f["query"].to_numpy()
+        group = (f.key.ne(f.key.shift()) | f.block.ne(f.block.shift())).to_numpy()
+        cut = np.append(np.flatnonzero(group), len(f))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in zip(cut[:-1], cut[1:]):
+            for q in x + np.flatnonzero(query[x:y]):
+                est = estimates(sig[q], sig[x:y])
+                order = np.argsort(-est, kind="stable")
+                wanted = (est[order] >= least) & (comps[x + order] != comps[q])
+                found = x + order[lo:hi][wanted[lo:hi]]
+                if wanted[hi:].any():
+                    found = np.append(found, q)
+                a.append(np.full(len(found), ids[q]))
+                b.append(ids[found])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return dealt.select("key", "block", "id", "comp", "sig", "query", "part").groupBy("part") \
         .applyInPandas(run, "a long, b long") \
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -191,20 +195,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
 
     # Buckets that two or more representatives share.
     bands = rep.select("id", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("h0"), F.max("id").alias("h1"),
-                                      F.min_by("id", F.xxhash64("id")).alias("h2")).where("h0 < h1")
-    members = scratch.save(bands.join(shared, "key"), "members")
+    shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
+    members = scratch.save(bands.join(shared.select("key", "hub"), "key"), "members")
     touched = members.select("id").distinct().join(rep.select("id", "sig"), "id")
 
-    # Linear pass: each member's best-estimated hubs, decided on full sets.
-    hubs = members.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("b")) \
-        .where("a <> b").distinct() \
-        .join(touched.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a") \
+    # Linear pass: the hubs (least ids of buckets) that a member shares most bands with.
+    most = members.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n")).groupBy("id") \
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "hub")), False), 1, HUBS).alias("t")) \
+        .select(F.col("id").alias("b"), F.explode("t.hub").alias("a"))
+    likely = most.join(touched.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a") \
         .join(touched.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    best = _estimate(hubs, least).groupBy("a") \
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), False), 1, HUBS).alias("t")) \
-        .select("a", F.explode("t.b").alias("b")) \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = _estimate(likely, least)
     sets = scratch.save(_sets(docs, members.select("id").distinct(), words), "sets")
     links = scratch.save(_verify(best, sets, percent), "links-0")
     comps = components(links, scratch, "cc-0")
