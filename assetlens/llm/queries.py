@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lines, minhash, packing, quality, toxicity
+from . import decontamination, embeddings, lines, minhash, packing, quality, toxicity, warc
 from .common import owner, table
 
 
@@ -22,6 +22,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), owner(spark))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,9 +38,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), owner(spark))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), owner(spark)) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.oracle()}
+    return {"op4_line_dedup": lines.oracle(), "op10_warc": warc.oracle()}
