@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, lines, minhash, packing, quality, substrings, toxicity, warc
+from . import decontamination, embeddings, licenses, lines, minhash, packing, quality, substrings, toxicity, warc
 from .common import owner, table
 
 
@@ -26,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), owner(spark))
 
