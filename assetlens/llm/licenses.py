@@ -123,7 +123,8 @@ class Classifier:
     def __init__(self, prose: list[str]):
         rng = np.random.default_rng(5)
         words = [p.split() for p in prose]
-        made = _notices(rng, words) + [(p, 0) for p in prose]
+        # Empty ones stand for paragraphs whose words were never seen.
+        made = _notices(rng, words) + [(p, 0) for p in prose] + [("", 0)] * (len(prose) // 2 + 1)
         made = [made[k] for k in rng.permutation(len(made))]
         cut = len(made) * 4 // 5
         y = np.array([c for _, c in made])
