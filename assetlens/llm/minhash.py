@@ -13,10 +13,11 @@ Shape of the job:
   so a group of exact copies is one representative from there on.
 * A bucket never becomes all pairs. A linear pass verifies every member with
   the hubs (least ids) of its buckets that it shares most bands with. What is
-  then connected needs no further pairs; in buckets that still hold
-  several components, members outside the largest one are compared with all
-  others, in salted blocks, best estimates first, in geometrically growing
-  slices until every cross-component candidate was decided.
+  then connected needs no further pairs. Buckets that still hold several
+  components are chained into clusters, and members outside a cluster's
+  largest component are compared with all others in blocks of bounded size:
+  estimates first, full sets where an estimate allows a link. A block returns
+  one link per member and other component, never its pairs.
 * Hot keys meet in skew-splittable joins or in blocks; components are
   computed by distributed star steps.
 
@@ -42,9 +43,8 @@ PERMUTATIONS = 128
 BITS = 2
 ROWS = 4                       # minima per band: 32 bands miss a pair at 0.75 with probability 5e-6
 MARGIN = 0.22                  # of the estimate, 4.6 standard errors at 0.75
-BLOCK = 8192                   # members of a bucket compared by one task at a time
 HUBS = 2                       # hubs that the linear pass verifies per member
-FIRST_SLICE, SLICE_GROWTH = 4, 16
+BLOCK_BYTES = 4 << 20          # of shingle sets that a cluster's members are compared with at a time
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
 
@@ -112,42 +112,54 @@ def _estimate(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def _cross(members: DataFrame, lo: int, hi: int, least: float, blocks: DataFrame) -> DataFrame:
-    """Candidates (a, b) of estimate rank [lo, hi) across components of one bucket.
+def _cross(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) across the components of each cluster.
 
-    ``members`` has key, id, comp and sig; ``blocks`` has key, main (the
-    bucket's largest component) and n (blocks). Members of the main component
-    are dealt to one block each; the others go to every block and are the
-    queries there. The rank counts a query's whole block, so it stays the same
-    when components merge. A query with candidates beyond ``hi`` adds a row
-    with a = b.
+    ``members`` has cluster, id, comp, sig and set. A cluster of more than
+    ``BLOCK_BYTES`` of sets is dealt into blocks: members of its largest
+    component go to one block each, the others to every block. These are the
+    queries: each is estimated against its whole block and, where an estimate
+    in another component is ``least`` or more, decided on full sets. A query
+    gives back one link per component at most.
     """
-    parts = max(1, members.count() // BLOCK)
-    dealt = members.join(blocks, "key").withColumn("query", F.expr("comp <> main")) \
+    bytes_ = F.octet_length("set").cast("long")
+    sizes = members.groupBy("cluster", "comp").agg(F.sum(bytes_).alias("m")).groupBy("cluster") \
+        .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all")) \
+        .select("cluster", "main", F.ceil(F.col("all") / BLOCK_BYTES).cast("int").alias("n"))
+    total = members.agg(F.sum(bytes_)).first()[0] or 0
+    parts = max(1, total // (2 * BLOCK_BYTES))
+    dealt = members.join(sizes, "cluster").withColumn("query", F.expr("comp <> main")) \
         .withColumn("block", F.explode(F.expr(
             "CASE WHEN comp <> main THEN sequence(0, n - 1) ELSE array(CAST(pmod(xxhash64(id), n) AS INT)) END"))) \
-        .withColumn("part", F.pmod(F.xxhash64("key", "block"), F.lit(parts)))
+        .withColumn("part", F.pmod(F.xxhash64("cluster", "block"), F.lit(parts)))
 
     def run(f):
-        f = f.sort_values(["key", "block", "id"], ignore_index=True)
-        sig, ids, comps, query = _rows(f.sig), f.id.to_numpy(), f.comp.to_numpy(), f["query"].to_numpy()
-        group = (f.key.ne(f.key.shift()) | f.block.ne(f.block.shift())).to_numpy()
-        cut = np.append(np.flatnonzero(group), len(f))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in zip(cut[:-1], cut[1:]):
-            for q in x + np.flatnonzero(query[x:y]):
-                est = estimates(sig[q], sig[x:y])
-                order = np.argsort(-est, kind="stable")
-                wanted = (est[order] >= least) & (comps[x + order] != comps[q])
-                found = x + order[lo:hi][wanted[lo:hi]]
-                if wanted[hi:].any():
-                    found = np.append(found, q)
-                a.append(np.full(len(found), ids[q]))
-                b.append(ids[found])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-    return dealt.select("key", "block", "id", "comp", "sig", "query", "part").groupBy("part") \
-        .applyInPandas(run, "a long, b long") \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        a, b = [], []
+        for _, g in f.groupby(["cluster", "block"], sort=True):
+            asked = np.flatnonzero(g["query"].to_numpy())
+            if not len(asked) or len(g) < 2:
+                continue
+            ids, comps, sig = g.id.to_numpy(), g.comp.to_numpy(), _rows(g.sig)
+            size = np.array([len(s) // 8 for s in g.set])
+            names, code = np.unique(np.frombuffer(b"".join(g.set), np.uint64), return_inverse=True)
+            end = np.cumsum(size)
+            held = np.zeros(len(names), bool)
+            for q in asked:
+                near = (estimates(sig[q], sig) >= least) & (comps != comps[q])
+                if not near.any():
+                    continue
+                own = code[end[q] - size[q]:end[q]]
+                held[own] = True
+                common = np.add.reduceat(held[code], end - size, dtype=np.int64)
+                held[own] = False
+                near &= 100 * common >= percent * (size + size[q] - common)
+                found = np.flatnonzero(near)
+                found = found[np.unique(comps[found], return_index=True)[1]]
+                a += [ids[q]] * len(found)
+                b += ids[found].tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return dealt.select("cluster", "block", "id", "comp", "sig", "set", "query", "part").groupBy("part") \
+        .applyInPandas(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,27 +222,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     links = scratch.save(_verify(best, sets, percent), "links-0")
     comps = components(links, scratch, "cc-0")
 
-    # What is still apart within a bucket: slices of candidates until none is left.
-    lo, hi, turn = 0, FIRST_SLICE, 0
-    keyed = members.select("key", "id").join(touched, "id")
-    while True:
-        turn += 1
-        placed = keyed.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        apart = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-        placed = scratch.save(placed.join(apart, "key", "left_semi"), f"apart-{turn}")
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key") \
-            .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all")) \
-            .select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("n"))
-        cand = scratch.save(_cross(placed, lo, hi, least, sizes), f"cross-{turn}")
-        found = cand.agg(F.count_if(F.expr("a < b")), F.count_if(F.expr("a = b"))).first()
-        if found[0]:
-            links = scratch.save(links.union(_verify(cand.where("a < b"), sets, percent)), f"links-{turn}")
-            comps = components(links, scratch, f"cc-{turn}")
-        scratch.drop(f"apart-{turn}", f"cross-{turn}")
-        if not found[1]:
-            break
-        lo, hi = hi, hi * SLICE_GROWTH
-    scratch.drop("sets", "members")
+    # What is still apart within a bucket is decided within clusters of such buckets.
+    placed = members.join(comps, "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("comp"))
+    apart = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    placed = scratch.save(placed.join(apart, "key", "left_semi").select("id", "hub", "comp").distinct(), "apart")
+    clusters = components(placed.select(F.col("id").alias("a"), F.col("hub").alias("b")), scratch, "clusters")
+    cluster = scratch.save(placed.select("id", "comp").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
+                           .join(touched, "id").join(sets.withColumnRenamed("doc_id", "id"), "id"), "cluster")
+    links = scratch.save(links.union(_cross(cluster, least, percent)), "links-1")
+    comps = components(links, scratch, "cc-1")
+    scratch.drop("sets", "members", "apart", "cluster")
 
     return sig.join(reps, "digest", "left") \
         .join(comps.withColumnRenamed("id", "rep"), "rep", "left") \
