@@ -14,6 +14,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_base(spark: SparkSession) -> str:
     """Shared folder for intermediate tables; only a ``local`` master may lack one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,9 +51,17 @@ class Scratch:
         return self._live[name]
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet in one job and return it read back."""
+        """Write ``df`` as Parquet in one job and return it read back.
+
+        The job's shuffle files go as soon as the table stands.
+        """
         path = self.folder(name)
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(_FREE_SHUFFLES, None)
+        conf.set(_FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(_FREE_SHUFFLES) if before is None else conf.set(_FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
