@@ -71,13 +71,17 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span."""
+def span_hasher(data: np.ndarray):
+    """(starts, ends) -> 64-bit hash of each byte span of ``data``."""
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start]
-               + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return lambda start, end: mix((sums[end] - sums[start]) * inverse[start]
+                                  + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(start, end)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
 from .common import held_out
 from .quality import training_rows
-from .textops import LOWER, chunks, hash_spans, mix, shingle_sets, tokens
+from .textops import LOWER, chunks, hash_spans, shingle_sets, span_hasher, tokens
 
 # Insult lexicons of the voters.
 LEXICONS = {
@@ -46,7 +47,9 @@ PRONOUNS = "you your you're u he she they him her them i are is"
 
 SAMPLE = 12_288               # documents that the classifier is fitted on, at most
 LABELLED = 16_384             # labelled rows that terms are induced from, at most
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
+CHUNK = 256 << 10
 PREFIXES = (4, 5, 6)
 INDUCED = 4
 VOTERS = len(LEXICONS) + 4 + INDUCED
@@ -67,26 +70,32 @@ def _in(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_set[at] == x
 
 
-def terms(data, offsets):
-    """(document, term bucket) of every word and word beginning, word hashes, and token arrays."""
+def keys_of(data, offsets):
+    """(document, term bucket) of every word and word beginning, as they come;
+    token hashes; and (document, shape, bounds) of the tokens."""
     start, end, shape, bounds = tokens(data, offsets)
-    low = LOWER[data]
+    spans = span_hasher(LOWER[data])
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     word = shape < 3
-    whole = hash_spans(low, start, end)
+    whole = spans(start, end)
     docs, keys = [doc[word]], [whole[word]]
     for size in PREFIXES:
         long = word & (end - start > size)
         docs.append(doc[long])
-        keys.append(hash_spans(low, start[long], start[long] + size) + np.uint64(size))
-    keys = (mix(np.concatenate(keys)) % np.uint64(BUCKETS)).astype(np.int64)
-    pairs = np.unique(np.concatenate(docs) * BUCKETS + keys)
-    return pairs // BUCKETS, pairs % BUCKETS, whole, (doc, shape, bounds)
+        keys.append(spans(start[long], start[long] + size) ^ np.uint64(size << 56))
+    return np.concatenate(docs), (np.concatenate(keys) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), whole, (doc, shape, bounds)
+
+
+def terms(data, offsets):
+    """Distinct (document, term bucket) pairs, in order."""
+    doc, key, _, _ = keys_of(data, offsets)
+    pairs = np.unique(doc * BUCKETS + key)
+    return pairs // BUCKETS, pairs % BUCKETS
 
 
 def vote_bits(data, offsets, induced: np.ndarray) -> np.ndarray:
     """Bit k of a text's number is set when voter k fires."""
-    doc, key, whole, (at, shape, bounds) = terms(data, offsets)
+    doc, key, whole, (at, shape, bounds) = keys_of(data, offsets)
     n = len(bounds) - 1
     fires = np.zeros((n, VOTERS), bool)
     insult = np.zeros(len(whole), bool)
@@ -133,8 +142,8 @@ def induce(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             counts, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
             y = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                doc, key, _, _ = terms(data, offsets)
+            for lo, hi, data, offsets in chunks(batch.column(1), CHUNK):
+                doc, key = terms(data, offsets)
                 for c in (0, 1):
                     counts[c] += np.bincount(key[y[lo + doc] == c], minlength=BUCKETS)
                     n[c] += int((y[lo:hi] == c).sum())
@@ -152,7 +161,7 @@ def induce(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _tree(votes, weight, theta_pair):
+def _tree(votes, weight):
     """Parent of each voter (-1: root) in the best tree of dependences given the label."""
     m = votes.shape[1]
     info = np.zeros((m, m))
@@ -186,7 +195,7 @@ class LabelModel:
         for _ in range(30):
             weight = np.stack([counts * (1 - q), counts * q], axis=1)
             self.prior = (weight.sum(axis=0) + 1) / (weight.sum() + 2)
-            self.parent = _tree(votes, weight, None)
+            self.parent = _tree(votes, weight)
             self.rate = np.empty((VOTERS, 2, 2))          # voter, parent's vote, label
             for k, p in enumerate(self.parent):
                 above = votes[:, p] if p >= 0 else np.zeros(len(votes))
@@ -215,7 +224,7 @@ def votes_of(docs: DataFrame, induced: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            bits = [np.zeros(0, np.int64)] + [vote_bits(d, o, sent.value) for _, _, d, o in chunks(batch.column(1))]
+            bits = [np.zeros(0, np.int64)] + [vote_bits(d, o, sent.value) for _, _, d, o in chunks(batch.column(1), CHUNK)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(bits), pa.int64())], ["doc_id", "votes"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, votes long")
 
@@ -251,11 +260,11 @@ def _regression(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tu
     return out, b
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndarray, float]:
     """Weights and intercept of the linear classifier."""
     known = training_rows(docs, labels, "toxic", LABELLED)
     induced = induce(distinct_texts(known, "y"))
-    votes = votes_of(docs, induced)
+    votes = scratch.save(votes_of(docs, induced), "votes")
     ids = known.select("doc_id", "y").distinct()
     counts = votes.where(~held_out()).join(F.broadcast(ids), "doc_id", "left") \
         .unionByName(votes.where(held_out()).withColumn("y", F.lit(None).cast("int"))) \
@@ -278,8 +287,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     def run(batches):
         for batch in batches:
             out = []
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                doc, key, _, _ = terms(data, offsets)
+            for lo, hi, data, offsets in chunks(batch.column(1), CHUNK):
+                doc, key = terms(data, offsets)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 out += [key[cut[k]:cut[k + 1]].astype(np.int32).tobytes() for k in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["q", "keys"])
@@ -301,15 +310,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         w, b = sent.value
         for batch in batches:
             out = [np.zeros(0)]
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                doc, key, _, _ = terms(data, offsets)
-                out.append(np.bincount(doc, w[key], hi - lo)[:hi - lo] + b)
+            for lo, hi, data, offsets in chunks(batch.column(1), CHUNK):
+                doc, key, _, _ = keys_of(data, offsets)
+                told = w[key] != 0
+                pairs = np.unique(doc[told] * BUCKETS + key[told])
+                out.append(np.bincount(pairs // BUCKETS, w[pairs % BUCKETS], hi - lo) + b)
             s = 1 / (1 + np.exp(-np.concatenate(out).clip(-40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    return score(docs, train(docs, labels)).select(
+    return score(docs, train(docs, labels, scratch)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
