@@ -59,7 +59,7 @@ class Scratch:
         conf, before = self.spark.conf, self.spark.conf.get(_FREE_SHUFFLES, None)
         conf.set(_FREE_SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             conf.unset(_FREE_SHUFFLES) if before is None else conf.set(_FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
