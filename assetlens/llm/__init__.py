@@ -7,4 +7,7 @@ import sys
 
 from pyspark import cloudpickle
 
+from ..plans import scratch
+
+cloudpickle.register_pickle_by_value(scratch)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,15 @@ def owner(spark: SparkSession) -> Scratch:
     return scratch
 
 
-def tasks(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+class Sent:
+    """A broadcast of a model whose class executors need not have installed."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self.raw.value)
 
 
 def held_out(doc_id: str = "doc_id"):

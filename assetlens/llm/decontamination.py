@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Sent
 from .textops import LOWER, chunks, hash_spans, ngrams, tokens
 
 N = 3
@@ -171,7 +172,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.text))
         index = Index([r.item_id for r in rows], [r.text for r in rows])
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        sent = Sent(docs.sparkSession, index)
 
         def count(batches):
             index = sent.value
@@ -189,7 +190,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame):
         for k, n in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
             frequency[k] = n
         index.keep_rare(frequency)
-        yield docs.sparkSession.sparkContext.broadcast(index)
+        yield Sent(docs.sparkSession, index)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -198,11 +199,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     out = docs.sparkSession.createDataFrame([], REPORT)
     for sent in indexes(docs, benchmark):
         def run(batches, sent=sent):
+            index = sent.value
             for batch in batches:
-                found = list(leaks(batch.column(1), sent.value, least))
+                found = list(leaks(batch.column(1), index, least))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 rest = [pa.array([f[k] for f in found], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()), (5, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([sent.value.items[f[1]] for f in found], pa.int64()), *rest],
+                yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[f[1]] for f in found], pa.int64()), *rest],
                                                  ["doc_id", "item_id", "score", "start_word", "end_word", "seeds"])
         out = out.union(docs.mapInArrow(run, REPORT))
     return out
@@ -213,9 +215,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
     schema, at = docs.schema, docs.columns.index("text")
     for sent in indexes(docs, benchmark):
         def run(batches, sent=sent):
+            index = sent.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in leaks(batch.column(at), sent.value, least)]] = False
+                keep[[f[0] for f in leaks(batch.column(at), index, least)]] = False
                 yield batch.filter(pa.array(keep))
         docs = docs.mapInArrow(run, schema)
     return docs

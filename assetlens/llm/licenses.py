@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Sent
 from .textops import LOWER, chunks, hash_spans, mix, ngrams, tokens
 
 # Short notices of the families, as their texts and stewards give them.
@@ -219,7 +220,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
 
 def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """``REPORT``: one row per paragraph that holds a licence notice, known or not."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    sent = Sent(docs.sparkSession, model or train(docs))
 
     def run(batches):
         model, templates = sent.value, template_words()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Sent, held_out
 from .textops import LOWER, SHAPES, chunks, hash_spans, mix, tokens
 
 BUCKETS, DIMS, NONZERO = 1 << 13, 32, 4
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
     """doc_id, score per row of ``docs`` (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches):
         vectors, net = sent.value
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, Network], least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more; no shuffle."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    sent, at = Sent(docs.sparkSession, model), docs.columns.index("text")
 
     def run(batches):
         vectors, net = sent.value
