@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cost, legacy, quality, reliability, risk
+from .plans.ranking import materialize
 from .sources import contract
 from .sources import projection as proj
 
@@ -116,17 +117,19 @@ CONTRACT: dict[str, list[tuple[str, str]]] = {
                  ("risk_score", "f")],
     "fanout_audit": [("asset_id", "s"), ("asset_type", "s"), ("maintenance_events", "i"),
                      ("production_readings", "i"), ("emissions_readings", "i"),
-                     ("joined_rows", "i"), ("true_downtime_hours", "i"),
-                     ("joined_downtime_hours", "i"), ("true_maintenance_cost", "f"),
+                     ("joined_rows", "f"), ("true_downtime_hours", "i"),
+                     ("joined_downtime_hours", "f"), ("true_maintenance_cost", "f"),
                      ("joined_maintenance_cost", "f"), ("true_oil_barrels", "i"),
-                     ("joined_oil_barrels", "i")],
+                     ("joined_oil_barrels", "f")],
     "fixed_threshold_flags": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"),
                               ("cost", "f")],
     "rule_ladder": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"), ("cost", "f"),
                     ("maintenance_action", "s")],
     "priority_inversions": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"),
                             ("maintenance_action", "s"), ("risk_score", "f"),
-                            ("recommended_action", "s")],
+                            ("recommended_action", "s"), ("direction", "s")],
+    "contract_nulls": [("table_name", "s"), ("column_name", "s"), ("required", "i"),
+                       ("row_count", "i"), ("null_count", "i")],
     "maintenance_keyed": [("maintenance_id", "i"), ("asset_id", "s"), ("maintenance_date", "d"),
                           ("cost_usd", "f"), ("failure_type", "s"), ("downtime_hours", "i")],
 }
@@ -183,9 +186,47 @@ OPERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "rule_ladder": lambda m, p, e: legacy.rule_ladder(m),
     "priority_inversions": lambda m, p, e: legacy.priority_inversions(_scored(m, p, e)),
     "maintenance_keyed": lambda m, p, e: contract.with_surrogate_key(m),
+    "contract_nulls": lambda m, p, e: contract.null_counts(
+        {"maintenance": m, "production": p, "emissions": e}),
 }
 
 
+#: Reports that start from the asset view (3.1) or from the scored fleet (3.4).
+FROM_VIEW = {
+    "asset_reliability": lambda v: v,
+    "emissions_failures": risk.emissions_failures,
+    "emissions_quartiles": risk.emissions_quartiles,
+    "dual_p90": risk.dual_p90,
+}
+FROM_SCORES = {
+    "risk_scores": lambda s: s,
+    "action_bands": risk.action_bands,
+    "worklist": risk.worklist,
+    "priority_inversions": legacy.priority_inversions,
+}
+
+
+def reports(m: DataFrame, p: DataFrame, e: DataFrame) -> Callable[[str], DataFrame]:
+    """``key -> DataFrame`` with the view and the scores built once and shared.
+
+    Call it inside :func:`assetlens.plans.ranking.owned`, which owns the two
+    written tables.
+    """
+    shared: dict[str, DataFrame] = {}
+
+    def build(key: str) -> DataFrame:
+        if (key in FROM_VIEW or key in FROM_SCORES) and "view" not in shared:
+            shared["view"] = materialize(risk.asset_reliability(m, p, e), "view")
+        if key in FROM_SCORES and "scores" not in shared:
+            shared["scores"] = materialize(risk.risk_scores(shared["view"]), "scores")
+        if key in FROM_VIEW:
+            return FROM_VIEW[key](shared["view"])
+        if key in FROM_SCORES:
+            return FROM_SCORES[key](shared["scores"])
+        return OPERATORS[key](m, p, e)
+    return build
+
+
 def query(key: str) -> Callable[[SparkSession, str], DataFrame]:
     """``(spark, sf_dir) -> DataFrame``: the test tables projected onto the domain,
     the operator over them, and the output contract applied."""

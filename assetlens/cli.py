@@ -21,9 +21,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .catalog import OPERATORS
+from .catalog import OPERATORS, reports
 from .functions.exprs import register_sql_functions
-from .plans.ranking import drop_written_tables
+from .plans.ranking import owned
 from .sources import contract, files, schemas
 
 
@@ -60,18 +60,21 @@ def main(argv: list[str] | None = None) -> int:
         e = contract.enforce(e, schemas.EMISSIONS)
     files.register_views(spark, m, p, e)
 
-    for key in args.query or list(OPERATORS):
-        df = OPERATORS[key](m, p, e)
-        if args.out:
-            w = df.write.mode("overwrite")
-            if args.format == "csv":
-                w = w.option("header", True)
-            getattr(w, args.format)(f"{args.out.rstrip('/')}/{key}")
-            print(f"{key}: written", file=sys.stderr)
-        else:
-            print(f"== {key}")
-            df.show(args.show, truncate=False)
-    drop_written_tables(spark)      # intermediate ranking tables are no longer needed
+    # One owner for the run: the view and the scores are built once for all reports
+    # that need them, and every intermediate table goes at the end, after errors too.
+    with owned(spark):
+        built = reports(m, p, e)
+        for key in args.query or list(OPERATORS):
+            df = built(key)
+            if args.out:
+                w = df.write.mode("overwrite")
+                if args.format == "csv":
+                    w = w.option("header", True)
+                getattr(w, args.format)(f"{args.out.rstrip('/')}/{key}")
+                print(f"{key}: written", file=sys.stderr)
+            else:
+                print(f"== {key}")
+                df.show(args.show, truncate=False)
     return 0
 
 

@@ -2,5 +2,5 @@
 
 from .exprs import (  # noqa: F401
     asc, asset_class, desc, exact_avg, pct, pct_change, register_sql_functions,
-    round_decimal, round_ratio, unscaled,
+    round_ratio, unscaled,
 )

@@ -111,11 +111,6 @@ def round_ratio(num, den, digits: int, num_scale: int = 0, den_scale: int = 0,
     return _scaled_back(q, digits, precision)
 
 
-def round_decimal(c, digits: int) -> Column:
-    """``ROUND(numeric, d)``: Spark's decimal round is HALF_UP, same as PG."""
-    return F.round(_col(c), digits)
-
-
 def exact_avg(c, digits: int, scale: int = 0, precision: int = 38) -> Column:
     """``ROUND(AVG(c), digits)`` with NULLs skipped; exact on the decimal sum."""
     c = _col(c)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import asc, asset_class, desc
+from .risk import ACTION_LABELS
 from ..plans.summaries import emissions_by_asset, maintenance_by_asset, production_by_well
 
 # Fixed values that must equal the reference (original queries 7 and 9).
@@ -108,12 +109,15 @@ def rule_ladder(m: DataFrame, ladder=LADDER, otherwise: str = LADDER_ELSE) -> Da
 
 def priority_inversions(scored: DataFrame, ladder=LADDER,
                         otherwise: str = LADDER_ELSE) -> DataFrame:
-    """Ladder label next to the score band for every asset, to spot inversions.
+    """Assets that the rule ladder and the score put in different tiers.
 
-    The scored fleet (3.4) already carries each asset's event count and
-    downtime, so the ladder is labelled on it directly: no second pass over
-    the events and no join.
+    Both scales have four tiers, most urgent first: the ladder's labels in
+    rule order, the score's action bands in label order. ``direction`` says
+    which one ranks the asset higher. The scored fleet (3.4) already carries
+    each asset's event count and downtime, so no second pass over the events.
     """
+    labels = [label for _, _, label in ladder] + [otherwise]
+    tier = lambda c, names: F.array_position(F.array(*[F.lit(x) for x in names]), F.col(c))
     return scored.select(
         "asset_id",
         F.col("failure_count").alias("failures"),
@@ -121,4 +125,7 @@ def priority_inversions(scored: DataFrame, ladder=LADDER,
         ladder_action(F.col("failure_count"), F.col("total_downtime_hours"), ladder, otherwise)
         .alias("maintenance_action"),
         "risk_score", "recommended_action",
-    ).orderBy(desc("risk_score"), asc("asset_id"))
+    ).withColumn("_l", tier("maintenance_action", labels)).withColumn("_s", tier("recommended_action", ACTION_LABELS)) \
+        .where("_l <> _s") \
+        .withColumn("direction", F.when(F.col("_l") < F.col("_s"), "ladder higher").otherwise("score higher")) \
+        .drop("_l", "_s").orderBy(desc("risk_score"), asc("asset_id"))

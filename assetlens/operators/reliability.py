@@ -86,11 +86,13 @@ def failure_modes_by_type(m: DataFrame) -> DataFrame:
         F.sum("downtime_hours").alias("total_downtime_hours"),
         exact_avg("downtime_hours", 1, precision=12).alias("avg_downtime_hours"),
         F.sum("cost_usd").alias("total_cost"))
-    per_class = Window.partitionBy("asset_type")
-    return g.select(
+    # four class totals joined back: failure types are free text, so a window by
+    # class would gather them all in four tasks
+    total = g.groupBy(F.col("asset_type").alias("_class")).agg(F.sum("occurrences").alias("_all"))
+    return g.join(total, F.col("asset_type") == F.col("_class")).select(
         "asset_type", "failure_type", "occurrences", "total_downtime_hours",
         "avg_downtime_hours", "total_cost",
-        pct("occurrences", F.sum("occurrences").over(per_class), 2).alias("pct_within_asset_type"),
+        pct("occurrences", "_all", 2).alias("pct_within_asset_type"),
     ).orderBy(asc("asset_type"), desc("total_downtime_hours"), asc("failure_type"))
 
 

@@ -26,15 +26,6 @@ EMISSIONS_BANDS = {
 }
 DUAL_THRESHOLD_PERCENTILE = 0.90
 
-VIEW_COLUMNS = [
-    "asset_id", "asset_type", "failure_count", "total_maintenance_cost", "avg_cost_per_failure",
-    "total_downtime_hours", "avg_downtime_per_failure", "worst_outage_hours",
-    "most_common_failure_type", "first_failure", "latest_failure", "production_readings",
-    "total_oil_barrels", "total_gas_mcf", "avg_water_cut_pct", "avg_pressure_psi",
-    "emissions_readings", "avg_co2_tons", "total_co2_tons", "avg_methane_tons", "avg_energy_mwh",
-]
-
-
 def asset_reliability(m: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
     """3.1 One row per maintained asset: three asset-grain aggregates, two left joins."""
     ms = maintenance_by_asset_with_mode(m)

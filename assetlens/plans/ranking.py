@@ -23,83 +23,50 @@ value held by a third of the fleet is one histogram row.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 _LOW_BITS = 33          # monotonically_increasing_id: partition id << 33
 _LOW_MASK = (1 << _LOW_BITS) - 1
-MAX_BUCKETS = 4096      # bound on the broadcast offsets table
-BROADCAST_ROWS = 2_000_000  # rank tables up to this many rows are broadcast
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only local runs get a temp one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:        # Spark Connect: no SparkContext on the client
-        sc = None
-    if sc is None:
-        if configured:
-            return configured
-        raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is required")
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; a shared folder is required on a cluster")
-    path = tempfile.mkdtemp(prefix="assetlens-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table under the checkpoint folder and read it back.
-
-    This cuts the lineage like ``checkpoint()`` (the table lives in the shared
-    folder the cluster names in ``spark.checkpoint.dir``, so it survives
-    executor loss), but runs one job: an eager RDD checkpoint counts the
-    data and then recomputes it a second time to write it. Everything a
-    caller relies on later (bucket ids, positions) is stored as columns, not
-    in the partition layout.
-    """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/assetlens-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.parquet(path)
-
 
-_WRITTEN: list[str] = []
+_OWNER: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("owner", default=None)
 
 
-def drop_written_tables(spark: SparkSession) -> int:
-    """Delete the tables :func:`materialize` wrote from this process; returns how many.
+@contextlib.contextmanager
+def owned(spark: SparkSession):
+    """Tables written by rankings in this block belong to it and go when it ends.
 
-    Call it once no DataFrame that reads them will be evaluated again (the
-    command-line runner does so after writing every result).
+    Evaluate every result inside the block. The tables are dropped after an
+    error too. Outside any block a table's owner is the process.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    dropped = 0
-    while _WRITTEN:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        if p.getFileSystem(conf).delete(p, True):
-            dropped += 1
-    return dropped
+    with Scratch(spark) as scratch:
+        token = _OWNER.set(scratch)
+        try:
+            yield scratch
+        finally:
+            _OWNER.reset(token)
 
 
-def default_buckets(spark: SparkSession) -> int:
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(n, MAX_BUCKETS))
+def materialize(df: DataFrame, name: str = "ranking") -> DataFrame:
+    """Write ``df`` as a Parquet table of the current owner and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (the table lives in the shared
+    folder the cluster names in ``spark.checkpoint.dir``, so it survives
+    executor loss), but runs one job. Everything a caller relies on later
+    (bucket ids, positions) is stored as columns, not in the partition layout.
+    """
+    scratch = _OWNER.get()
+    if scratch is None:
+        scratch = Scratch(df.sparkSession)
+        atexit.register(scratch.drop_all)
+    return scratch.save(df, name)
 
 
 def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None,
@@ -120,13 +87,9 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None
     base = df
     for name, col in sums.items():
         base = base.withColumn(f"_v_{name}", col)
-    if buckets is None and default_buckets(df.sparkSession) < MAX_BUCKETS:
-        # Let AQE size the buckets: it may merge adjacent range partitions
-        # (bucket order stays monotone), so small inputs use few buckets and
-        # large ones get partitions near the advisory size.
-        ranged = base.repartitionByRange(*order)
-    else:
-        ranged = base.repartitionByRange(max(1, min(buckets or MAX_BUCKETS, MAX_BUCKETS)), *order)
+    # Without ``buckets`` the session's partitions apply and AQE may merge adjacent
+    # ones (bucket order stays monotone).
+    ranged = base.repartitionByRange(buckets, *order) if buckets else base.repartitionByRange(*order)
     numbered = materialize(
         ranged.sortWithinPartitions(*order)
         .withColumn("_rid", F.monotonically_increasing_id()))
@@ -138,7 +101,7 @@ def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None
     stats = numbered.groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_bn"),
         *[F.sum(f"_v_{name}").alias(f"_bs_{name}") for name in sums])
-    # One row per bucket: the window below runs over at most MAX_BUCKETS rows.
+    # One row per bucket: the window below runs over as many rows as there are buckets.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     offsets = stats.select(
@@ -267,26 +230,14 @@ def with_ranks(df: DataFrame, metrics: dict[str, str], key: str = "asset_id",
                buckets: int | None = None) -> DataFrame:
     """Attach ``RANK`` of each metric column as ``metrics[col]`` and the row count.
 
-    The rank tables (one row per distinct value of each metric) are written
-    once and counted. Within the broadcast bound each metric is attached by
-    a broadcast hash join on its value (NULL-safe), so the fleet is not
-    shuffled. Beyond it the fleet is stacked (one copy per metric), joined
-    once on (metric, value) with a shuffle (AQE splits skewed partitions),
-    and folded back to one row per ``key`` (unique).
+    One plan for every size: the fleet's (key, metric, value) rows join the
+    rank table on (metric, value), NULL-safe, and fold back to one row per
+    ``key`` (unique). Spark picks the join at run time and splits skewed
+    values; nothing is counted or broadcast by hand.
     """
     cols = list(metrics)
-    rt = materialize(rank_tables(df, cols, value_type, buckets).select(
-        F.col("_metric").alias("_rm"), F.col("_value").alias("_rv"), "_rank", "_n"))
-    if rt.count() <= BROADCAST_ROWS:
-        out = df
-        for i, c in enumerate(cols):
-            t = F.broadcast(rt.where(F.col("_rm") == i).select(
-                F.col("_rv").alias("_key"), F.col("_rank").alias(metrics[c]),
-                F.col("_n").alias(n_name if i == 0 else f"_n{i}")))
-            out = out.join(t, out[c].cast(value_type).eqNullSafe(t["_key"]), "inner").drop("_key")
-            if i:
-                out = out.drop(f"_n{i}")
-        return out
+    rt = rank_tables(df, cols, value_type, buckets).select(
+        F.col("_metric").alias("_rm"), F.col("_value").alias("_rv"), "_rank", "_n")
     stacked = _stack(df, cols, value_type, [key])
     j = stacked.join(rt, (stacked["_metric"] == rt["_rm"]) & stacked["_value"].eqNullSafe(rt["_rv"]),
                      "inner")
@@ -307,9 +258,7 @@ def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
     ``tie`` (unique per row) breaks ties so the tiles are deterministic.
     """
     metrics = [value for _, value, _, _ in specs]
-    # every input column rides along, so the input is computed once (in the
-    # written table of the ranking pass) and not again for the result
-    stacked = _stack(df, metrics, value_type, df.columns)
+    stacked = _stack(df, metrics, value_type, [tie])
     # one sort for all metrics: flip ascending metrics, place NULLs explicitly
     key, nulls_rank = F.col("_value"), F.lit(1)
     for i, (_, _, descending, nulls_first) in enumerate(specs):
@@ -323,14 +272,10 @@ def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
                               F.col("_key").desc(), F.col(tie).asc()],
                     buckets=buckets, within="_metric")
     pos = pos.withColumn("_tile", ntile_of("_pos", "_n", k))
-    # back to one row per input row: the first metric's copy keeps the columns,
-    # the other metrics contribute their tile through a join on the unique key
-    out = pos.where(F.col("_metric") == 0).select(
-        *df.columns, F.col("_tile").alias(specs[0][0]))
-    for i, (name, _, _, _) in enumerate(specs[1:], start=1):
-        other = pos.where(F.col("_metric") == i).select(tie, F.col("_tile").alias(name))
-        out = out.join(other, tie, "inner")
-    return out
+    tiles = pos.groupBy(tie).agg(*[
+        F.max(F.when(F.col("_metric") == i, F.col("_tile"))).alias(name)
+        for i, (name, _, _, _) in enumerate(specs)])
+    return df.join(tiles, tie, "inner")
 
 
 def percentile_conts(df: DataFrame, metrics: list[str], fraction: float,

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 from .functions.exprs import register_sql_functions
-from .plans.ranking import ensure_checkpoint_dir
+from .plans.scratch import checkpoint_base
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -24,6 +24,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
              .config("spark.driver.memory", os.environ.get("ASSETLENS_DRIVER_MEMORY", "8g"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    checkpoint_base(spark)
     register_sql_functions(spark)
     return spark

@@ -1,4 +1,4 @@
-"""Load contract: NOT NULL checks and the surrogate event key.
+"""Load contract: checks of every declared column and the surrogate event key.
 
 Spark's readers return every column as nullable, so the NOT NULL columns of
 the declared schemas are checked explicitly, either failing the load or
@@ -16,27 +16,60 @@ from ..plans.ranking import positions
 from . import schemas
 
 
-def violation(schema) -> Column:
-    """TRUE for rows that break a NOT NULL column of ``schema``."""
+def violation(df: DataFrame, schema) -> Column:
+    """TRUE for rows that break a NOT NULL column of ``schema`` or that the reader marked malformed."""
     checks = [F.col(c).isNull() for c in schemas.required_columns(schema)]
+    if schemas.MALFORMED in df.columns:
+        checks.append(F.col(schemas.MALFORMED))
     return reduce(lambda a, b: a | b, checks, F.lit(False))
 
 
 def split_valid(df: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) without any action."""
-    bad = violation(schema)
-    return df.where(~bad), df.where(bad)
+    """(accepted, quarantined) without any action.
+
+    Read with mode PERMISSIVE, so that rows with unreadable cells or too few
+    fields are marked; the accepted frame loses the mark.
+    """
+    bad = violation(df, schema)
+    return df.where(~bad).drop(schemas.MALFORMED), df.where(bad)
 
 
 def enforce(df: DataFrame, schema) -> DataFrame:
-    """Fail if any required column is NULL; return the frame typed as ``schema``.
+    """Fail on a NULL in a required column, an unreadable cell or a short row.
+
+    One aggregate over *every* column of the schema, so each cast and each
+    field of every row is evaluated whatever the later queries select (the
+    rows are not collected). Returns the frame typed as ``schema``.
+    """
+    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields],
+                      *[c for c in df.columns if c == schemas.MALFORMED])
+    marks = [F.count_if(schemas.MALFORMED).alias("malformed rows")] if schemas.MALFORMED in df.columns else []
+    found = typed.agg(F.count(F.lit(1)).alias("rows"), *marks,
+                      *[F.count(f.name).alias(f.name) for f in schema.fields]).first()
+    short = {c: found["rows"] - found[c] for c in schemas.required_columns(schema) if found[c] < found["rows"]}
+    if marks and found["malformed rows"]:
+        short["malformed rows"] = found["malformed rows"]
+    if short:
+        raise ValueError(f"contract violated, rows by column: {short}")
+    return typed.drop(schemas.MALFORMED)
+
+
+def null_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, required, row_count, null_count of every declared column.
 
-    One aggregate job over the input (the rows are not collected).
+    One aggregate pass per table, unpivoted to a row per column.
     """
-    bad = df.where(violation(schema)).limit(1).count()
-    if bad:
-        raise ValueError(f"NOT NULL violated in columns {schemas.required_columns(schema)}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    out = None
+    for name, df in tables.items():
+        schema = schemas.SCHEMAS[name]
+        counts = df.agg(F.count(F.lit(1)).alias("_rows"),
+                        *[F.count_if(F.col(f.name).isNull()).alias(f.name) for f in schema.fields])
+        rows = counts.select(F.lit(name).alias("table_name"), "_rows", F.explode(F.array(*[
+            F.struct(F.lit(f.name).alias("column_name"), F.lit(int(not f.nullable)).alias("required"),
+                     F.col(f.name).alias("null_count")) for f in schema.fields])).alias("c")) \
+            .select("table_name", "c.column_name", "c.required", F.col("_rows").alias("row_count"), "c.null_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def with_surrogate_key(df: DataFrame, name: str = "maintenance_id",

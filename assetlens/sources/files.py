@@ -4,60 +4,78 @@ The CSV contract follows a PostgreSQL ``COPY ... (FORMAT csv, HEADER true)``:
 the header line is skipped and columns are taken by position (the production
 header says ``date``; it lands in ``production_date``), an unquoted empty
 field is NULL and a quoted empty field ``""`` is an empty string, numeric
-values with more fractional digits than the column scale are rounded, and a
-malformed value fails the load.
+values with more fractional digits than the column scale are rounded. Casts
+are lazy: ``contract.enforce`` evaluates every cell and fails on a bad one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 
-# A marker that never occurs in the data: with it Spark keeps "" as an empty
-# string, and unquoted empty fields are mapped to NULL below.
-_NO_NULL_MARKER = "\\N"
+# PostgreSQL text cannot hold a zero byte, so this marker can't be data: with it
+# Spark keeps "" as an empty string and unquoted empty fields become NULL, while
+# a literal \N stays text.
+_NULL_MARKER = "\x00"
 
 
-def _read_csv(spark: SparkSession, path: str, schema, mode: str) -> DataFrame:
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+def _read_csv(spark: SparkSession, path: str, schema, mode: str, multiline: bool) -> DataFrame:
+    """All columns as text first, then cast.
 
-    # Read numerics as text first so an unquoted empty field can become NULL
-    # without Spark turning "" into NULL for text columns as well.
-    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
-                                for f in schema.fields])
+    FAILFAST: a malformed number or date, or a short row, fails whatever reads
+    it (ANSI cast). Any other mode gives NULL there and adds the boolean
+    column ``schemas.MALFORMED``. ``multiline`` allows line ends inside quoted
+    fields; it makes each file one task.
+    """
+    strict = mode.upper() == "FAILFAST"
+    fields = [T.StructField(f.name, T.StringType(), True) for f in schema.fields]
+    if not strict:
+        fields.append(T.StructField("_corrupt", T.StringType(), True))
     raw = (spark.read
-           .schema(text_schema)
+           .schema(T.StructType(fields))
            .option("header", True)
            .option("enforceSchema", True)   # positional: header names ignored
            .option("mode", mode)
-           .option("nullValue", _NO_NULL_MARKER)
+           .option("columnNameOfCorruptRecord", "_corrupt")
+           .option("quote", '"').option("escape", '"')      # doubled quotes, as COPY writes them
+           .option("multiLine", multiline)
+           .option("nullValue", _NULL_MARKER)
            .option("emptyValue", "")
            .csv(path))
-    cols = []
+    cols, bad = [], F.lit(False) if strict else F.col("_corrupt").isNotNull()
     for f in schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
             cols.append(c.alias(f.name))
+            # Never true: it keeps the column in the scan, without which Spark's
+            # parser would not notice a row of too few fields.
+            bad = bad | F.coalesce(F.length(c) < 0, F.lit(False))
         else:
             c = F.when(F.trim(c) != "", F.trim(c))
-            # FAILFAST: a malformed number or date raises (ANSI cast); otherwise NULL
-            c = c.cast(f.dataType) if mode.upper() == "FAILFAST" else c.try_cast(f.dataType)
-            cols.append(c.alias(f.name))
-    return raw.select(*cols)
+            if strict:
+                cols.append(c.cast(f.dataType).alias(f.name))
+            else:
+                cols.append(c.try_cast(f.dataType).alias(f.name))
+                bad = bad | (c.isNotNull() & c.try_cast(f.dataType).isNull())
+    return raw.select(*cols) if strict else raw.select(*cols, bad.alias(schemas.MALFORMED))
 
 
-def read_maintenance_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    return _read_csv(spark, path, schemas.MAINTENANCE, mode)
+def read_maintenance_csv(spark: SparkSession, path: str, mode: str = "FAILFAST",
+                         multiline: bool = False) -> DataFrame:
+    return _read_csv(spark, path, schemas.MAINTENANCE, mode, multiline)
 
 
-def read_production_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    return _read_csv(spark, path, schemas.PRODUCTION, mode)
+def read_production_csv(spark: SparkSession, path: str, mode: str = "FAILFAST",
+                        multiline: bool = False) -> DataFrame:
+    return _read_csv(spark, path, schemas.PRODUCTION, mode, multiline)
 
 
-def read_emissions_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    return _read_csv(spark, path, schemas.EMISSIONS, mode)
+def read_emissions_csv(spark: SparkSession, path: str, mode: str = "FAILFAST",
+                       multiline: bool = False) -> DataFrame:
+    return _read_csv(spark, path, schemas.EMISSIONS, mode, multiline)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:

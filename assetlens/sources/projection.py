@@ -4,9 +4,9 @@ The test data ships TPC-H-like tables, not maintenance records. These
 definitions (ours) turn ``lineitem`` into maintenance events, ``orders`` into
 well production readings and ``events`` into emissions readings. The same
 SQL text feeds both Spark (``selectExpr``) and the DuckDB oracle, so the two
-engines see identical inputs. Every row of each source table is used;
-production readings are kept for wells only, because the domain says only
-wells produce (pipelines and refineries have no production rows).
+engines see identical inputs. Every row of each source table is used. Only
+wells produce, so every customer key maps to a well id (keys ending in 6-9
+share the well of the key ending in 0-3).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ MAINTENANCE_SELECT = [
 ]
 
 PRODUCTION_SELECT = [
-    f"{prefixed_id('o_custkey')} as well_id",
+    f"{prefixed_id('(o_custkey - o_custkey % 10 + o_custkey % 10 % 6)')} as well_id",
     "cast(o_orderdate as date) as production_date",
     "case when o_custkey % 30 = 0 then 0 "
     "else cast(floor(o_totalprice / 100) as int) end as oil_production_barrels",
@@ -46,7 +46,6 @@ PRODUCTION_SELECT = [
     "cast(500 + o_orderkey % 4000 as int) as pressure_psi",
     "cast(20 + o_orderkey % 100 as int) as temperature_c",
 ]
-PRODUCTION_WHERE = "left(well_id, 3) = 'WEL'"
 
 EMISSIONS_SELECT = [
     f"{prefixed_id('(user_id * 10 + event_id % 10)')} as asset_id",
@@ -67,7 +66,7 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def production(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").selectExpr(*PRODUCTION_SELECT).where(PRODUCTION_WHERE)
+    return _read(spark, sf_dir, "orders").selectExpr(*PRODUCTION_SELECT)
 
 
 def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +83,5 @@ def duckdb_ctes() -> str:
     p = ",\n  ".join(PRODUCTION_SELECT)
     e = ",\n  ".join(EMISSIONS_SELECT)
     return (f"maintenance AS (SELECT\n  {m}\nFROM lineitem),\n"
-            f"production AS (SELECT * FROM (SELECT\n  {p}\nFROM orders) WHERE {PRODUCTION_WHERE}),\n"
+            f"production AS (SELECT\n  {p}\nFROM orders),\n"
             f"emissions AS (SELECT\n  {e}\nFROM events)")

@@ -31,6 +31,9 @@ EMISSIONS = T.StructType([
 
 SCHEMAS = {"maintenance": MAINTENANCE, "production": PRODUCTION, "emissions": EMISSIONS}
 
+#: Mark that a PERMISSIVE read puts on rows with an unreadable cell or a wrong field count.
+MALFORMED = "_malformed"
+
 # Scales of the decimal columns, used by the exact-rounding helpers.
 COST_SCALE = 2
 WATER_CUT_SCALE = 2

@@ -125,14 +125,24 @@ def test_surrogate_key_splits_identical_rows(spark):
     assert hot == list(range(601, 901))     # 'HOT' sorts after every 'A....'
 
 
-def test_ranks_large_table_path(spark, monkeypatch):
-    # above the broadcast bound the fleet is stacked, shuffled and folded back
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
-    df = _data(spark, 150, 77)
-    got = ranking.with_ranks(df, {"v": "rv", "c": "rc"}, buckets=3)
-    want = df.select(
-        "asset_id",
-        F.rank().over(Window.orderBy(F.col("v").asc_nulls_last())).alias("rv"),
-        F.rank().over(Window.orderBy(F.col("c").asc_nulls_last())).alias("rc"))
-    assert ({r.asset_id: (r.rv, r.rc, r._n) for r in got.collect()}
-            == {r.asset_id: (r.rv, r.rc, 150) for r in want.collect()})
+def test_ranks_one_plan_on_ties_nulls_and_distinct_values(spark):
+    rows = [(f"A{i:03d}", 5 if i % 3 else i, None if i % 4 else i, i * 7 % 151) for i in range(150)]
+    df = spark.createDataFrame(rows, "asset_id string, v long, c long, d long")
+    metrics = {"v": "rv", "c": "rc", "d": "rd"}
+    for buckets in (None, 3):
+        got = ranking.with_ranks(df, metrics, buckets=buckets)
+        want = df.select("asset_id", *[F.rank().over(Window.orderBy(F.col(c).asc_nulls_last())).alias(r)
+                                       for c, r in metrics.items()])
+        assert ({r.asset_id: (r.rv, r.rc, r.rd, r._n) for r in got.collect()}
+                == {r.asset_id: (r.rv, r.rc, r.rd, 150) for r in want.collect()})
+
+
+def test_owned_tables_go_after_an_error(spark):
+    import os
+    with pytest.raises(RuntimeError):
+        with ranking.owned(spark) as scratch:
+            ranking.materialize(spark.range(3))
+            folder = scratch.path.removeprefix("file:")
+            assert os.path.isdir(folder)
+            raise RuntimeError
+    assert not os.path.exists(folder)

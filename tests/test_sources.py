@@ -75,6 +75,8 @@ def test_projection_shapes(spark):
     lineitem = spark.read.parquet(f"{d}/lineitem.parquet").count()
     assert m.count() == lineitem                       # every event row is used
     assert p.where("left(well_id, 3) <> 'WEL'").count() == 0
+    assert p.count() == spark.read.parquet(f"{d}/orders.parquet").count()
+    assert e.count() == spark.read.parquet(f"{d}/events.parquet").count()
     assert dict(zip(m.schema.names, [f.dataType.simpleString() for f in m.schema.fields]))["cost_usd"] == "decimal(14,2)"
 
 
@@ -89,3 +91,36 @@ def test_reliability_mart_partitioned_by_class(spark):
     plan = wells._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(asset_type" in plan and "Well" in plan
     assert wells.count() == 3
+
+
+def _csv(text):
+    path = os.path.join(tempfile.mkdtemp(prefix="assetlens-csv-"), "m.csv")
+    with open(path, "w") as f:
+        f.write("asset_id,maintenance_date,cost_usd,failure_type,downtime_hours\n" + text)
+    return path
+
+
+def test_csv_quotes_backslashes_and_null_marker(spark):
+    path = _csv('A,2024-01-01,1.00,"seal ""B"" leak, minor",1\n'
+                'B,2024-01-01,1.00,"path C:\\",2\n'
+                'C,2024-01-01,1.00,\\N,3\nD,2024-01-01,,"",\nE,2024-01-01,2,,4\n')
+    rows = {r.asset_id: r for r in files.read_maintenance_csv(spark, path).collect()}
+    assert [rows[k].failure_type for k in "ABCDE"] == ['seal "B" leak, minor', "path C:\\", "\\N", "", None]
+    assert rows["D"].cost_usd is None and rows["D"].downtime_hours is None
+
+
+def test_csv_line_end_in_a_field(spark):
+    path = _csv('A,2024-01-01,1.00,"two\nlines",1\n')
+    assert files.read_maintenance_csv(spark, path, multiline=True).first().failure_type == "two\nlines"
+    with pytest.raises(Exception):
+        contract.enforce(files.read_maintenance_csv(spark, path), schemas.MAINTENANCE)
+
+
+@pytest.mark.parametrize("bad", ["B,2024-01-01,abc,x,1\n", "B,2024-01-01,1.00,x\n", ",2024-01-01,1.00,x,1\n"])
+def test_contract_sees_every_cell(spark, bad):
+    path = _csv("A,2024-01-01,1.00,x,1\n" + bad)
+    with pytest.raises(Exception):
+        contract.enforce(files.read_maintenance_csv(spark, path), schemas.MAINTENANCE)
+    good, out = contract.split_valid(files.read_maintenance_csv(spark, path, "PERMISSIVE"), schemas.MAINTENANCE)
+    assert (good.count(), out.count()) == (1, 1)
+    assert good.columns == [f.name for f in schemas.MAINTENANCE.fields]
