@@ -83,7 +83,7 @@ def removed(rows):
             if first.setdefault(b[s:s + 50], i) < i:
                 gone[s:s + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone) if not g)
-        out[i] = (len(b), sum(gone), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        out[i] = (len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
     return out
 
 
