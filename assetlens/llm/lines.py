@@ -10,8 +10,8 @@ place (smallest doc_id, then first line), so no text is lost from the corpus.
 
 Hot lines: counts, sketches and exact counts are partially aggregated before
 the shuffle; the join back is an ordinary equi-join that Spark can split.
-Only line keys that occur more than once are sketched at all. What returns to
-the documents is, per document, the numbers of its removed lines.
+Sketches are built once; the candidates near or above the threshold are written
+for the steps that follow. What returns to the documents is, per document, the numbers of its removed lines.
 
 Defined results: a null text stays null, with no lines; an empty text has one
 blank line; a null source counts as no site; rows that repeat an id are
@@ -39,13 +39,14 @@ def _lines(docs: DataFrame) -> DataFrame:
         .select("doc_id", "source", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+def boilerplate(docs: DataFrame, scratch, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """h, g, sites, first_doc, first_pos of each cross-site line key."""
     lines = _lines(docs)
     estimate = F.hll_sketch_estimate("sketch")
     spread = lines.groupBy("h", "g").agg(F.hll_sketch_agg("source", F.lit(LOG2_BUCKETS)).alias("sketch"),
                                          F.min(F.struct("doc_id", "pos")).alias("first")) \
         .select("h", "g", estimate.alias("estimate"), "first").where(F.col("estimate") >= min_sites * (1 - margin))
+    spread = scratch.save(spread, "spread")     # candidates only; the sketches are built once
     near = spread.where(F.col("estimate") <= min_sites * (1 + margin)).select("h", "g")
     exact = lines.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.countDistinct("source").alias("exact"))
     return spread.join(exact, ["h", "g"], "left") \
@@ -58,7 +59,7 @@ def dedup_lines(docs: DataFrame, scratch, min_sites: int = MIN_SITES) -> DataFra
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*columns)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    wide = scratch.save(boilerplate(slim, min_sites), "boilerplate")
+    wide = scratch.save(boilerplate(slim, scratch, min_sites), "boilerplate")
     cut = _lines(slim).join(wide, ["h", "g"]).where("not (doc_id = first_doc and pos = first_pos)") \
         .groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("pos")).alias("__cut"))
     split = F.split("text", "\n")
