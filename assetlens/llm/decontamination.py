@@ -1,22 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, rare ones alone, then Smith-Waterman.
 
 1. Document frequency of every benchmark trigram over the whole corpus
    (counted per task, summed by trigram).
-2. Seeds of an item: among its trigrams that occur in the corpus at all, the
-   rarest half (``LEAST_SEEDS`` at least). The rule ranks, so a passage leaked
-   into very many documents keeps its seeds.
-3. Each document's trigrams are matched with the seeds. Hits of one item that
-   lie near one diagonal form a window; windows with two different seeds are
-   aligned with the item by Smith-Waterman over words. The score is the
+2. Rare seeds of an item: among its trigrams that occur in the corpus at all,
+   the rarest half (``LEAST_SEEDS`` at least).
+3. Each document's trigrams are matched with all trigrams of the items. Hits
+   of one item that lie near one diagonal form a window; a window with a rare
+   seed, or with two different trigrams of any frequency, is aligned with the
+   item by Smith-Waterman over words. So trigrams that live on only in another
+   copy of the item can't crowd out those of an edited copy. The score is the
    alignment's share of a perfect one; ``LEAST_SCORE`` or more is a leak.
 
+Windows reach as far as an alignment of the least score can, and pairs are
+left out before the alignment only where the item's words that the document
+holds are too few for that score; neither changes the result.
+
 The benchmark is the stated query set: it is sent to the tasks in blocks of at
 most ``BLOCK_BYTES`` of text (and one item), whatever its size, and documents
 are never shuffled. Words are runs of letters and digits, A-Z lower-cased.
 
 Defined results: null and empty texts or items match nothing; items of fewer
-than ``N`` words have no trigram and can't leak; repeated documents or items
-are reported each; rows with a null id are scanned too (null id in the
+than ``N`` words have no trigram and can't leak, nor can a copy edited so
+densely that no trigram is left; ``seeds`` counts the different trigrams of the
+item in the aligned window; repeated documents or items are reported each; rows with a null id are scanned too (null id in the
 result); empty tables give an empty result. Other columns are ignored.
 """
 
@@ -28,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Sent
-from .textops import LOWER, chunks, hash_spans, ngrams, tokens
+from .textops import LOWER, chunks, hash_spans, mix, ngrams, tokens
 
 N = 3
 LEAST_SEEDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 BLOCK_BYTES = 8 << 20
+SLOTS = 1 << 20                # hits times items that are looked at together
 REPORT = "doc_id long, item_id long, score double, start_word long, end_word long, seeds long"
 
 
@@ -83,24 +90,25 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Items of one block, their seeds (sorted) and where each seed lies."""
+    """Items of one block, their trigrams (sorted), where each lies and whether it is rare."""
 
     def __init__(self, items: list, texts: list):
         self.items, self.words = items, []
         for _, _, data, offsets in chunks(pa.array(texts, pa.string())):
             hashes, bounds = word_hashes(data, offsets)
             self.words += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        self.ends = np.cumsum(self.size)
         per = [ngrams(w, N) for w in self.words]
         self.gram = np.concatenate([np.zeros(0, np.uint64), *per])
         self.item = np.repeat(np.arange(len(per)), [len(p) for p in per])
         self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(p)) for p in per)])
-        self.order()
-
-    def order(self):
         by = np.lexsort((self.at, self.item, self.gram))
         self.gram, self.item, self.at = self.gram[by], self.item[by], self.at[by]
         self.key, self.first = np.unique(self.gram, return_index=True)
         self.last = np.append(self.first[1:], len(self.gram))
+        self.rare = np.zeros(len(self.gram), bool)
 
     def hits(self, grams, inside):
         """(position, key number) of each word whose trigram is in the index."""
@@ -110,8 +118,8 @@ class Index:
         pos = np.flatnonzero((self.key[at] == grams) & inside)
         return pos, at[pos]
 
-    def keep_rare(self, frequency: np.ndarray):
-        """Reduce to each item's seeds, given the document frequency of each key."""
+    def mark_rare(self, frequency: np.ndarray):
+        """Mark each item's rare seeds, given the document frequency of each key."""
         df = frequency[np.searchsorted(self.key, self.gram)]
         by = np.lexsort((self.at, self.gram, df, self.item))
         by = by[df[by] > 0]
@@ -122,9 +130,62 @@ class Index:
         start = np.zeros(len(self.words) + 1, np.int64)
         np.add.at(start, item[new] + 1, 1)
         count, start = start[1:], np.cumsum(start)
-        chosen = by[rank - start[item] < np.maximum(LEAST_SEEDS, (count[item] + 1) // 2)]
-        self.gram, self.item, self.at = self.gram[chosen], self.item[chosen], self.at[chosen]
-        self.order()
+        self.rare[by[rank - start[item] < np.maximum(LEAST_SEEDS, (count[item] + 1) // 2)]] = True
+
+    def held(self, words: np.ndarray) -> np.ndarray:
+        """Of each item, how many of its words are among ``words``."""
+        total = np.concatenate([[0], np.cumsum(np.isin(self.flat, words))])
+        return total[self.ends] - total[self.ends - self.size]
+
+
+def _slots(index: Index, pos, key, doc, hashes, bounds, least: float):
+    """(position, slot, document) of every hit and item, some whole documents at a time."""
+    many = index.last[key] - index.first[key]
+
+    def expand(a, b):
+        n = many[a:b]
+        slot = np.repeat(index.first[key[a:b]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(pos[a:b], n), slot, np.repeat(doc[a:b], n)
+    total = np.concatenate([[0], np.cumsum(many)])
+    cut = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+    lo = 0
+    while lo < len(cut) - 1:
+        hi = max(lo + 1, int(np.searchsorted(total[cut], total[cut[lo]] + SLOTS, "right")) - 1)
+        a, b = cut[lo], cut[hi]
+        if total[b] - total[a] <= SLOTS:
+            yield expand(a, b)
+        else:                  # one document: only items of which it holds enough words
+            d = doc[a]
+            able = index.held(hashes[bounds[d]:bounds[d + 1]]) >= least * index.size
+            parts = []
+            while a < b:
+                c = min(b, max(a + 1, int(np.searchsorted(total, total[a] + SLOTS, "right")) - 1))
+                part = expand(a, c)
+                keep = able[index.item[part[1]]]
+                parts.append([x[keep] for x in part])
+                a = c
+            yield tuple(np.concatenate(x) for x in zip(*parts))
+        lo = hi
+
+
+def _able(index: Index, doc, item, hashes, bounds, least: float) -> np.ndarray:
+    """Whether each pair's document holds enough words of the item to reach ``least``."""
+    salt = lambda d: mix(d.astype(np.uint64) + np.uint64(1))
+    docs = np.unique(doc)
+    size = bounds[docs + 1] - bounds[docs]
+    at = np.repeat(bounds[docs], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    known = np.unique(hashes[at] ^ salt(np.repeat(docs, size)))
+    out = np.zeros(len(doc), bool)
+    step = max(1, SLOTS // max(1, int(index.size.max())))
+    for k in range(0, len(doc), step):
+        d, i = doc[k:k + step], item[k:k + step]
+        n = index.size[i]
+        end = np.cumsum(n)
+        at = np.repeat(index.ends[i] - n, n) + np.arange(n.sum()) - np.repeat(end - n, n)
+        asked = index.flat[at] ^ salt(np.repeat(d, n))
+        found = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+        out[k:k + step] = np.add.reduceat(found, end - n, dtype=np.int64) >= least * n
+    return out
 
 
 def leaks(column: pa.Array, index: Index, least: float):
@@ -134,33 +195,49 @@ def leaks(column: pa.Array, index: Index, least: float):
         pos, key = index.hits(*_grams(hashes, bounds))
         if not len(pos):
             continue
-        many = index.last[key] - index.first[key]
-        slot = np.repeat(index.first[key], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pos, key, item = np.repeat(pos, many), np.repeat(key, many), index.item[slot]
-        begin = pos - index.at[slot]
         doc = np.searchsorted(bounds, pos, "right") - 1
-        by = np.lexsort((pos, begin, item, doc))
-        pos, key, item, begin, doc = pos[by], key[by], item[by], begin[by], doc[by]
-        size = np.array([len(w) for w in index.words])[item]
-        turn = np.ones(len(pos), bool)
-        turn[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > size[1:] // 2 + 4)
-        cut = np.append(np.flatnonzero(turn), len(pos))
-        best = {}
-        for a, b in zip(cut[:-1], cut[1:]):
-            seeds = len(set(key[a:b].tolist()))
-            if seeds < 2:
-                continue
-            words, d = index.words[item[a]], int(doc[a])
-            pad = len(words) // 4 + 4
-            x = max(int(bounds[d]), int(begin[a]) - pad)
-            y = min(int(bounds[d + 1]), int(begin[b - 1]) + len(words) + pad)
-            value, s, e = smith_waterman(hashes[x:y], words)
-            value /= MATCH * len(words)
-            name = (d, int(item[a]))
-            if value >= least and value > best.get(name, (0,))[0]:
-                best[name] = (value, x - int(bounds[d]) + s, x - int(bounds[d]) + e, seeds)
-        for (d, i), found in best.items():
-            yield lo + d, i, *found
+        for pos, slot, doc in _slots(index, pos, key, doc, hashes, bounds, least):
+            best = _aligned(index, pos, slot, doc, hashes, bounds, least)
+            for (d, i), found in best.items():
+                yield lo + d, i, *found
+
+
+def _aligned(index: Index, pos, slot, doc, hashes, bounds, least: float) -> dict:
+    """(document, item number) -> (score, start word, end word, seeds) of its best window."""
+    item, begin = index.item[slot], pos - index.at[slot]
+    by = np.lexsort((pos, begin, item, doc))
+    slot, item, begin, doc = slot[by], item[by], begin[by], doc[by]
+    # An alignment of the least score has so many gaps at most.
+    drift = np.floor(2 * index.size * (1 - least)).astype(np.int64)
+    turn = np.ones(len(doc), bool)
+    turn[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > drift[item[1:]])
+    window = np.cumsum(turn) - 1
+    first = np.flatnonzero(turn)
+    last = np.append(first[1:], len(doc)) - 1
+    key = np.searchsorted(index.key, index.gram[slot])
+    by = np.lexsort((key, window))
+    other = np.ones(len(doc), bool)
+    other[1:] = (key[by][1:] != key[by][:-1]) | (window[by][1:] != window[by][:-1])
+    seeds = np.bincount(window[by], other, len(first)).astype(np.int64)
+    rare = np.bincount(window, index.rare[slot], len(first)) > 0
+    asked = np.flatnonzero((seeds >= 2) | rare)
+    if len(asked):
+        asked = asked[_able(index, doc[first[asked]], item[first[asked]], hashes, bounds, least)]
+    best = {}
+    for w in asked.tolist():
+        a, b = first[w], last[w]
+        words, d = index.words[item[a]], int(doc[a])
+        pad = int(drift[item[a]])
+        x = max(int(bounds[d]), int(begin[a]) - pad)
+        y = min(int(bounds[d + 1]), int(begin[b]) + len(words) + pad)
+        if np.isin(words, hashes[x:y]).sum() < least * len(words):
+            continue
+        value, s, e = smith_waterman(hashes[x:y], words)
+        value /= MATCH * len(words)
+        name = (d, int(item[a]))
+        if value >= least and value > best.get(name, (0,))[0]:
+            best[name] = (value, x - int(bounds[d]) + s, x - int(bounds[d]) + e, int(seeds[w]))
+    return best
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame):
@@ -189,7 +266,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame):
         frequency = np.zeros(len(index.key), np.int64)
         for k, n in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
             frequency[k] = n
-        index.keep_rare(frequency)
+        index.mark_rare(frequency)
         yield Sent(docs.sparkSession, index)
 
 

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assetlens.llm import (decontamination, embeddings, licenses, lines, minhash, packing, quality,
@@ -195,6 +196,45 @@ def test_decontamination(spark):
     assert {r.doc_id for r in left.collect()} == {12, 13}
 
 
+def aligned(docs, items, least=0.5):
+    """(doc, item) -> score, from the alignment of every document with every item."""
+    code = {}
+    words = lambda t: np.array([code.setdefault(w, len(code)) for w in re.findall(r"[a-z0-9]+", (t or "").lower())])
+    out = {}
+    for d, t in docs:
+        for i, x in items:
+            a, b = words(t), words(x)
+            score = decontamination.smith_waterman(a, b)[0] / (2 * len(b)) if len(a) and len(b) > 2 else 0
+            if score >= least:
+                out[d, i] = score
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    """Edited copies beside an exact copy, which alone holds the trigrams that the edits destroyed."""
+    rng = np.random.default_rng(5)
+    items = [(i, "which of the following is true " + " ".join(f"i{i}w{k}" for k in range(54))) for i in range(12)]
+    items += [(50, "three words only"), (51, None)]
+    docs = [(0, "start " * 30 + items[0][1] + " end" * 30)]
+    for i, edit in enumerate([lambda k: k % 4 == 3, lambda k: k % 5 == 4, lambda k: k % 6 == 5, lambda k: rng.random() < 0.2,
+                              lambda k: rng.random() < 0.25, lambda k: 20 <= k < 40]):
+        w = items[i][1].split()
+        docs.append((100 + i, items[i][1]))
+        docs.append((200 + i, "lead in " * 9 + " ".join(f"e{k}" if edit(k) else x for k, x in enumerate(w)) + " tail" * 9))
+        docs.append((300 + i, " ".join(w[:25] + [f"ins{k}" for k in range(45)] + w[25:])))
+    docs += [(400, "which of the following is true " * 40), (401, "here are three words only"), (402, None), (403, " ".join(x for _, x in items[:12]))]
+    want = aligned(docs, items)
+    assert {(200 + i, i) for i in range(5)} <= {k for k, v in want.items() if v < 0.8}
+    found = decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want
+    # Small pieces in this process; without frequencies, two different trigrams decide.
+    for slots in (8, 100):
+        monkeypatch.setattr(decontamination, "SLOTS", slots)
+        index = decontamination.Index([i for i, _ in items[:12]], [t for _, t in items[:12]])
+        got = decontamination.leaks(pa.array([t for _, t in docs], pa.string()), index, 0.5)
+        assert {(docs[f[0]][0], items[f[1]][0]): f[2] for f in got} == {k: v for k, v in want.items() if k[1] != 50}
+
+
 def test_smith_waterman_equals_the_full_table():
     rng = np.random.default_rng(2)
     for _ in range(40):
