@@ -15,9 +15,9 @@ Shape of the job:
   the hubs (least ids) of its buckets that it shares most bands with. What is
   then connected needs no further pairs. Buckets that still hold several
   components are chained into clusters, and members outside a cluster's
-  largest component are compared with all others in blocks of bounded size:
-  estimates first, full sets where an estimate allows a link. A block returns
-  one link per member and other component, never its pairs.
+  largest component are compared with all others in pairs of blocks of bounded
+  size: estimates first, full sets where an estimate allows a link. A pair of
+  blocks returns one link per member and other component, never its pairs.
 * Hot keys meet in skew-splittable joins or in blocks; components are
   computed by distributed star steps.
 
@@ -44,7 +44,7 @@ BITS = 2
 ROWS = 4                       # minima per band: 32 bands miss a pair at 0.75 with probability 5e-6
 MARGIN = 0.22                  # of the estimate, 4.6 standard errors at 0.75
 HUBS = 2                       # hubs that the linear pass verifies per member
-BLOCK_BYTES = 4 << 20          # of shingle sets that a cluster's members are compared with at a time
+BLOCK_BYTES = 4 << 20          # of shingle sets in one block of a cluster, about; a task compares two blocks at a time
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
 
@@ -115,50 +115,63 @@ def _estimate(pairs: DataFrame, least: float) -> DataFrame:
 def _cross(members: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (a, b) across the components of each cluster.
 
-    ``members`` has cluster, id, comp, sig and set. A cluster of more than
-    ``BLOCK_BYTES`` of sets is dealt into blocks: members of its largest
-    component go to one block each, the others to every block. These are the
-    queries: each is estimated against its whole block and, where an estimate
-    in another component is ``least`` or more, decided on full sets. A query
-    gives back one link per component at most.
+    ``members`` has cluster, id, comp, sig and set. In a cluster of more than
+    ``BLOCK_BYTES`` of sets the members of its largest component and the others
+    are dealt into blocks of that size each, and every block of the others
+    meets itself and each later block, so no task holds more than two blocks.
+    Members outside the largest component are the queries: each is estimated
+    against the other block and, where an estimate in another component is
+    ``least`` or more, decided on full sets. A query gives back one link per
+    component and block at most. Smaller clusters are one block each, several
+    to a task.
     """
     bytes_ = F.octet_length("set").cast("long")
+    blocks = lambda m: F.ceil(m / BLOCK_BYTES).cast("int")
     sizes = members.groupBy("cluster", "comp").agg(F.sum(bytes_).alias("m")).groupBy("cluster") \
-        .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all")) \
-        .select("cluster", "main", F.ceil(F.col("all") / BLOCK_BYTES).cast("int").alias("n"))
+        .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("all")) \
+        .withColumn("small", F.col("all") <= BLOCK_BYTES) \
+        .select("cluster", "main", "small", F.when(F.col("small"), 1).otherwise(blocks(F.col("all") - F.col("m"))).alias("rest"),
+                F.when(F.col("small"), 0).otherwise(blocks(F.col("m"))).alias("mains"))
     total = members.agg(F.sum(bytes_)).first()[0] or 0
     parts = max(1, total // (2 * BLOCK_BYTES))
     dealt = members.join(sizes, "cluster").withColumn("query", F.expr("comp <> main")) \
-        .withColumn("block", F.explode(F.expr(
-            "CASE WHEN comp <> main THEN sequence(0, n - 1) ELSE array(CAST(pmod(xxhash64(id), n) AS INT)) END"))) \
-        .withColumn("part", F.pmod(F.xxhash64("cluster", "block"), F.lit(parts)))
+        .withColumn("own", F.expr("CAST(CASE WHEN small THEN 0 WHEN query THEN pmod(xxhash64(id), rest) "
+                                  "ELSE rest + pmod(xxhash64(id), mains) END AS INT)")) \
+        .withColumn("other", F.explode(F.expr("sequence(0, CASE WHEN query THEN rest + mains ELSE rest END - 1)"))) \
+        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")) \
+        .withColumn("part", F.when(F.col("small"), F.pmod(F.xxhash64("cluster"), F.lit(parts)))
+                    .otherwise(F.xxhash64("cluster", "i", "j")))
 
     def run(f):
         a, b = [], []
-        for _, g in f.groupby(["cluster", "block"], sort=True):
-            asked = np.flatnonzero(g["query"].to_numpy())
-            if not len(asked) or len(g) < 2:
+        for (_, i, j), g in f.groupby(["cluster", "i", "j"], sort=True):
+            own = g.own.to_numpy()
+            asked, others = np.flatnonzero(g["query"].to_numpy() & (own == i)), np.flatnonzero(own == j)
+            if not len(asked) or not len(others):
                 continue
             ids, comps, sig = g.id.to_numpy(), g.comp.to_numpy(), _rows(g.sig)
             size = np.array([len(s) // 8 for s in g.set])
             names, code = np.unique(np.frombuffer(b"".join(g.set), np.uint64), return_inverse=True)
             end = np.cumsum(size)
             held = np.zeros(len(names), bool)
+            theirs = np.concatenate([code[end[k] - size[k]:end[k]] for k in others])
+            start = np.cumsum(size[others]) - size[others]
+            signed = sig[others]
             for q in asked:
-                near = (estimates(sig[q], sig) >= least) & (comps != comps[q])
+                near = (estimates(sig[q], signed) >= least) & (comps[others] != comps[q])
                 if not near.any():
                     continue
-                own = code[end[q] - size[q]:end[q]]
-                held[own] = True
-                common = np.add.reduceat(held[code], end - size, dtype=np.int64)
-                held[own] = False
-                near &= 100 * common >= percent * (size + size[q] - common)
-                found = np.flatnonzero(near)
+                mine = code[end[q] - size[q]:end[q]]
+                held[mine] = True
+                common = np.add.reduceat(held[theirs], start, dtype=np.int64)
+                held[mine] = False
+                near &= 100 * common >= percent * (size[others] + size[q] - common)
+                found = others[near]
                 found = found[np.unique(comps[found], return_index=True)[1]]
                 a += [ids[q]] * len(found)
                 b += ids[found].tolist()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-    return dealt.select("cluster", "block", "id", "comp", "sig", "set", "query", "part").groupBy("part") \
+    return dealt.select("cluster", "i", "j", "own", "id", "comp", "sig", "set", "query", "part").groupBy("part") \
         .applyInPandas(run, "a long, b long")
 
 

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from assetlens.llm import (decontamination, embeddings, licenses, lines, minhash, packing, quality,
                            substrings, toxicity, warc)
@@ -75,6 +76,35 @@ def test_minhash_near_group_and_edges(spark, scratch):
     assert minhash.near_duplicates(frame(spark, []), scratch).count() == 0
 
 
+@pytest.mark.parametrize("main", [0, 40])
+def test_minhash_family_of_templated_pages(spark, scratch, monkeypatch, main):
+    """A hot cluster whose members are nearly all apart: right links, and no task with more than two blocks."""
+    rng = np.random.default_rng(8)
+    template = [f"t{k}" for k in range(200)]
+    rows = [(k, " ".join(template + [f"p{k}w{i}" for i in range(60)])) for k in range(240)]
+    rows += [(1000 + k, t + " a few more words") for k, t in rows[:30]]
+    rows += [(2000 + k, " ".join(w if rng.random() > 0.01 else f"m{k}" for w in template[:150])) for k in range(main)]
+    sets = word_sets(rows)
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    root = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            root[a] = min(root[b] for b in sets if near(a, b))
+    block, held = 1 << 16, []
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    kind = type(spark.range(0))
+    group = kind.groupBy
+
+    def spy(self, *by):
+        if [b for b in by if isinstance(b, str)] == ["part"]:
+            held.append(group(self, "part").agg(F.sum(F.octet_length("set")).alias("n")).agg(F.max("n")).first()[0])
+        return group(self, *by)
+    monkeypatch.setattr(kind, "groupBy", spy)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), scratch).collect()}
+    assert got == root
+    assert sum(len(s) for s in sets.values()) * 8 > 8 * block and 0 < held[0] < 4 * block
+
+
 def removed(rows):
     first, out = {}, {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
