@@ -74,39 +74,74 @@ def encoder(path: str):
 
 
 def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, start, length, sequence, offset) of each piece; items shorter than ``capacity``."""
+    """(item, start, length, sequence, offset) of each piece; items shorter than ``capacity``.
+
+    All sequences with room are searched: one heap of (cost, sequence) per
+    amount of room, and a segment tree over the amounts with the least entry of
+    each stretch, so the cheapest with room for n is found in logarithmic time.
+    """
     total = sum(lengths)
     opened = -(-total // capacity)
     room = [capacity] * opened
     if opened:
         room[-1] = total - capacity * (opened - 1)
-    heap = [(0.0, k) for k in range(opened)]
+    last = room[-1] if opened else 0
+    spent = [0.0] * opened
+    leaves = 1 << capacity.bit_length()
+    none = (float("inf"), 0)
+    tree = [none] * (2 * leaves)
+    heaps = {}
+
+    def settle(amount: int):
+        heap = heaps.get(amount)
+        at = leaves + amount
+        tree[at] = heap[0] if heap else none
+        while at > 1:
+            at >>= 1
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+    def cheapest(n: int):
+        lo, hi, best = leaves + n, 2 * leaves, none
+        while lo < hi:
+            if lo & 1:
+                best = min(best, tree[lo])
+                lo += 1
+            lo >>= 1
+            hi >>= 1
+        return best
+
+    def most() -> int:
+        at = 1
+        while at < leaves:
+            at = 2 * at + (tree[2 * at + 1] != none)
+        return min(k for _, k in heaps[at - leaves])
+
+    for k, amount in enumerate(room):
+        heaps.setdefault(amount, []).append((0.0, k))
+    for amount in heaps:
+        settle(amount)
     out = []
     todo = [(-cost(n), k, 0, n) for k, n in enumerate(lengths) if n]
     heapq.heapify(todo)
-    spent = [0.0] * opened
     while todo:
         _, item, start, n = heapq.heappop(todo)
-        passed, at = [], -1
-        while heap:
-            c, k = heapq.heappop(heap)
-            if not room[k] or c != spent[k]:
-                continue
-            passed.append((c, k))
-            if room[k] >= n:
-                at = k
-                break
-            if len(passed) >= 64:      # enough of the cheapest seen: cut instead of searching on
-                break
-        if at < 0:
-            at = max(passed, key=lambda e: (room[e[1]], -e[1]))[1]
-        take = min(n, room[at])
-        out.append((item, start, take, at, capacity - room[at] if at < opened - 1 else total - capacity * (opened - 1) - room[at]))
+        found = cheapest(n)
+        at = found[1] if found != none else most()
+        amount = room[at]
+        take = min(n, amount)
+        out.append((item, start, take, at, (capacity if at < opened - 1 else last) - amount))
+        heap = heaps[amount]
+        if found != none:
+            heapq.heappop(heap)
+        else:
+            heap.remove((spent[at], at))
+            heapq.heapify(heap)
+        settle(amount)
         room[at] -= take
         spent[at] += cost(take)
-        for c, k in passed:
-            if room[k]:
-                heapq.heappush(heap, (spent[k], k))
+        if room[at]:
+            heapq.heappush(heaps.setdefault(room[at], []), (spent[at], at))
+            settle(room[at])
         if take < n:
             heapq.heappush(todo, (-cost(n - take), item, start + take, n - take))
     return out

@@ -200,6 +200,28 @@ def test_packing(spark):
         assert at <= 2048
 
 
+def test_packing_searches_all_sequences():
+    """Every piece goes to the cheapest of all sequences with room; a cut only where none has room."""
+    rng = np.random.default_rng(4)
+    for lengths in ([2000] * 100 + [1500] * 30 + [40] * 50, rng.integers(1, 2048, 400).tolist(), rng.geometric(0.003, 600).clip(1, 2047).tolist(), []):
+        total = sum(lengths)
+        rooms = [2048] * (-(-total // 2048))
+        if rooms:
+            rooms[-1] = total - 2048 * (len(rooms) - 1)
+        size, left, spent = rooms[:], list(lengths), [0.0] * len(rooms)
+        for item, start, n, at, offset in packing.assign(lengths, 2048):
+            fit = [k for k, r in enumerate(rooms) if r >= left[item]]
+            if fit:
+                assert n == left[item] and at == min(fit, key=lambda k: (spent[k], k))
+            else:
+                assert n == rooms[at] == max(rooms)
+            assert start == lengths[item] - left[item] and offset == size[at] - rooms[at]
+            rooms[at] -= n
+            left[item] -= n
+            spent[at] += packing.cost(n)
+        assert not any(left) and not any(rooms)
+
+
 def test_lines_equal_oracle(spark, scratch):
     import duckdb
     got = sorted(tuple(r) for r in lines.dedup_lines(documents(spark), scratch, 3).select("doc_id", "n_lines", "n_removed", "text").collect())
