@@ -2,8 +2,9 @@
 
 Attention over a piece of n tokens costs ``n * LINEAR + n * n * QUADRATIC``.
 Whole stretches of ``capacity`` tokens are sequences of their own. The rests
-(shorter than a sequence, so bounded) are dealt by a hash of the id into pools
-of about ``POOL`` documents. Each pool opens as many sequences as its tokens
+(shorter than a sequence, so bounded) are dealt by a hash of id and text into
+pools of about ``POOL`` documents; equal rows are counted and dealt by their
+number too. Each pool opens as many sequences as its tokens
 fill, and documents in descending cost go to the sequence of lowest cost that
 still has room; where none has room, the document is cut to fill the sequence
 with the most room. Every sequence but a pool's last is then full. The last
@@ -147,12 +148,24 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with ``k``, which numbers equal rows. They are counted
+    first and written out in stretches of ``POOL`` that lie in different tasks."""
+    return rows.groupBy("doc_id", "text").agg(F.count("*").alias("n")) \
+        .withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(POOL).cast("long")))) \
+        .repartition(F.xxhash64("doc_id", "text", "lo")) \
+        .withColumn("k", F.explode(F.sequence("lo", F.least(F.col("lo") + POOL, "n") - 1))) \
+        .select("doc_id", "text", "k")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document: see ``PIECES``; ids_crc32 is over
     little-endian unsigned 32-bit ids."""
-    pools = max(1, -(-docs.count() // POOL))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
-                       F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(pools)).cast("int").alias("pool"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total, most = rows.groupBy(F.xxhash64("doc_id", "text")).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    pools = max(1, -(-(total or 0) // POOL))
+    rows = (_numbered(rows) if (most or 0) > 1 else rows.withColumn("k", F.lit(0).cast("long"))) \
+        .select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", "k"), F.lit(pools)).cast("int").alias("pool"))
 
     def encode(batches):
         to_ids = encoder(tokenizer)

@@ -222,6 +222,18 @@ def test_packing_searches_all_sequences():
         assert not any(left) and not any(rooms)
 
 
+def test_packing_spreads_rows_of_one_id(spark, monkeypatch):
+    """Equal rows, and rows of one id with texts of one length, are dealt into many pools and all packed."""
+    monkeypatch.setattr(packing, "POOL", 32)
+    rows = [(None, None)] * 300 + [(7, "equal words")] * 300 + [(8, f"text {k:04d}") for k in range(300)]
+    got = packing.pack(frame(spark, rows), packing.default_tokenizer()).collect()
+    for i in (None, 7, 8):
+        mine = [r for r in got if r.doc_id == i]
+        assert sum(r.start == 0 for r in mine) == 300
+        assert sum(r.length for r in mine) == sum(r.doc_tokens for r in mine if r.start == 0)
+        assert len({r.sequence_id >> 32 for r in mine}) > 10
+
+
 def test_lines_equal_oracle(spark, scratch):
     import duckdb
     got = sorted(tuple(r) for r in lines.dedup_lines(documents(spark), scratch, 3).select("doc_id", "n_lines", "n_removed", "text").collect())
