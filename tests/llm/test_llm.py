@@ -345,3 +345,48 @@ def test_pipeline(spark):
             assert out.columns == first
         docs = out
     assert docs.count() > 0
+
+
+def test_pipeline_run_equals_recomputed_stages(spark, monkeypatch):
+    """run(), with its writes and rereads: each stage's rows from a plain recomputation on its own input."""
+    import corpus_pipeline
+    import duckdb
+    seen = {}
+
+    def kept(name, stage):
+        def run(spark, docs, sf_dir):
+            seen[name] = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+            return stage(spark, docs, sf_dir)
+        return name, run
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [kept(*s) for s in corpus_pipeline.STAGES])
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    source = {r.doc_id: r.text for r in documents(spark).select("doc_id", "text").collect()}
+    assert seen["quality"] == source and all(source[i] == t for i, t in seen["line_dedup"].items())
+
+    con, before = duckdb.connect(), seen["line_dedup"]
+    frame_ = documents(spark).toPandas()
+    con.register("documents", frame_[frame_.doc_id.isin(list(before))])
+    want = {i: t for i, _, gone, t in con.execute(lines.oracle()).fetchall() if t is None or not gone or t.strip(" ")}
+    assert seen["near_dedup"] == want
+
+    sets = word_sets(want.items())
+    root = {i: i for i in sets}
+    near = {a: [b for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])] or [a] for a in sets}
+    while (new := {a: min(root[b] for b in near[a] + [a]) for a in sets}) != root:
+        root = new
+    want = {i: t for i, t in want.items() if not sets[i] or root[i] == i}
+    assert seen["decontamination"] == want
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaked = {d for d, _ in aligned(want.items(), items)}
+    want = {i: t for i, t in want.items() if i not in leaked}
+    assert leaked and seen["packing"] == want
+
+    from tokenizers import Tokenizer
+    exact = Tokenizer.from_file(packing.default_tokenizer())
+    for i, text in want.items():
+        ids = np.array([*exact.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        mine = sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.start)
+        assert sum(r.length for r in mine) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in mine)
+    assert {r.doc_id for r in pieces} == set(want)
