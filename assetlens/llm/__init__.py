@@ -1,5 +1,6 @@
 """Training-data operators: quality, toxicity, deduplication, decontamination,
-licences, packing and WARC archives. Nothing else in the library imports this
+licences, packing, WARC archives, centroid clustering, chat formatting and
+importance resampling. Nothing else in the library imports this
 subpackage. Its functions travel to the executors by value, so a cluster needs
 no installed copy of it."""
 

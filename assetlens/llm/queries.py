@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, licenses, lines, minhash, packing, quality, substrings, toxicity, warc
+from . import (centroids, chat, decontamination, embeddings, licenses, lines, minhash, packing, quality, resampling, substrings,
+               toxicity, warc)
 from .common import owner, table
 
 
@@ -51,9 +52,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), owner(spark)) \
+        .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.round_trip(turns.unionByName(spark.createDataFrame(chat.PROBE, turns.schema)), owner(spark))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), owner(spark)) \
+        .select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.oracle(), "op10_warc": warc.oracle()}
+    return {"op4_line_dedup": lines.oracle(), "op10_warc": warc.oracle(), "op11_centroid_clustering": centroids.oracle(),
+            "op12_chat_formatting": chat.oracle(), "op13_importance_resampling": resampling.oracle()}
