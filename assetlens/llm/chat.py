@@ -50,18 +50,19 @@ CONTROLS = (*MARKS, "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_en
 TRAINED = "assistant"         # the role whose texts are under the loss mask
 ROWS = 512                    # turns encoded or decoded at once
 
-_SHOWN = re.compile("(?s)(?:" + "|".join(rf"(?<={re.escape(c[0])})(\\*)(?={re.escape(c[1:])})" for c in CONTROLS) + ")")
+_REST = "|".join(rf"{re.escape(first)}%s(?={'|'.join(re.escape(c[1:]) for c in CONTROLS if c[0] == first)})" for first in "<[")
+_PLAIN, _ESCAPED = (re.compile(_REST.replace("%s", rf"\\{many}")) for many in "*+")
 
 FORMATTED = "conv_id long, part long, start long, bucket int, row long, ids array<int>, mask array<boolean>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str) -> str:
-    return _SHOWN.sub(lambda m: m[0] + "\\", text)
+    return _PLAIN.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:
-    return _SHOWN.sub(lambda m: m[0][:-1], text)
+    return _ESCAPED.sub(lambda m: m[0][:-1], text)
 
 
 def mask_of(lengths: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,26 +154,35 @@ def decoder(tokenizer: str):
 
 
 def read_turns(formatted: DataFrame, tokenizer: str) -> DataFrame:
-    """conv_id, part, role, text, trained (the text under the mask, null if none), chars, read from the ids."""
+    """conv_id, part, role, text, trained (the text under the mask), chars, read from the ids."""
     def run(batches):
-        table = decoder(tokenizer)
-        shown = lambda ids: b"".join([table[i] for i in ids]).decode()
+        known = decoder(tokenizer)
+        table = pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.large_binary())
+
+        def shown(ids):
+            """The tokens' bytes joined, and where each token's begin."""
+            taken = table.take(pa.array(ids))
+            _, edge, raw = taken.buffers()
+            return raw.to_pybytes() if raw is not None else b"", np.frombuffer(edge, np.int64)[:len(ids) + 1]
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 cut = batch.slice(lo, ROWS)
-                roles, texts, trained, chars = [], [], [], []
-                for ids, mask in zip(cut.column(2), cut.column(3)):
-                    ids, mask = ids.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False)
-                    (open_,), (mid,), (close,) = (np.flatnonzero(ids == m) for m in RESERVED)
-                    assert open_ == 0 and close == len(ids) - 1
-                    plain = ids.tolist()
-                    roles.append(unescape(shown(plain[1:mid])))
-                    texts.append(unescape(shown(plain[mid + 1:close])))
-                    trained.append(unescape(shown(ids[mask].tolist())) if mask.any() else None)
-                    chars.append(len(shown(plain)))
-                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()),
-                                                  pa.array(trained, pa.string()), pa.array(chars, pa.int64())],
-                                                 ["conv_id", "part", "role", "text", "trained", "chars"])
+                ids = cut.column(2).flatten().to_numpy()
+                mask = cut.column(3).flatten().to_numpy(zero_copy_only=False)
+                turn, mid, close = (np.flatnonzero(ids == m) for m in RESERVED)
+                last = np.append(turn[1:], len(ids)) - 1
+                if len(turn) != len(cut) or not (np.array_equal(close, last) and len(mid) == len(turn) and ((turn < mid) & (mid < close)).all()):
+                    raise ValueError("a row is not TURN role TEXT text END")
+                raw, edge = shown(ids)
+                under, place = shown(ids[mask])
+                place = place[np.concatenate([[0], np.cumsum(mask)])]        # masked bytes before each token
+                text = lambda source, at, a, b: [unescape(source[i:j].decode()) for i, j in zip(at[a].tolist(), at[b].tolist())]
+                after = close + 1
+                yield pa.RecordBatch.from_arrays(
+                    [cut.column(0), cut.column(1), pa.array(text(raw, edge, turn + 1, mid), pa.string()), pa.array(text(raw, edge, mid + 1, close), pa.string()),
+                     pa.array(text(under, place, turn, after), pa.string()),
+                     pa.array([len(raw[i:j].decode()) for i, j in zip(edge[turn].tolist(), edge[after].tolist())], pa.int64())],
+                    ["conv_id", "part", "role", "text", "trained", "chars"])
     return formatted.select("conv_id", "part", "ids", "mask") \
         .mapInArrow(run, "conv_id long, part long, role string, text string, trained string, chars long")
 
@@ -192,8 +202,8 @@ def digests(read: DataFrame) -> DataFrame:
                     conv, held = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 held[0] += 1
                 held[1].update(f"{row['role']}\n{row['text']}\n".encode())
-                held[2] += len(row["trained"] or "")
-                held[3].update((row["trained"] or "").encode())
+                held[2] += len(row["trained"])
+                held[3].update((row["trained"]).encode())
                 held[4] += row["chars"]
             if over:
                 yield done(over)
