@@ -125,15 +125,29 @@ CONTRACT: dict[str, list[tuple[str, str]]] = {
                               ("cost", "f")],
     "rule_ladder": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"), ("cost", "f"),
                     ("maintenance_action", "s")],
+    "tier_mismatches": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"),
+                        ("maintenance_action", "s"), ("risk_score", "f"),
+                        ("recommended_action", "s"), ("direction", "s")],
     "priority_inversions": [("asset_id", "s"), ("failures", "i"), ("downtime", "i"),
                             ("maintenance_action", "s"), ("risk_score", "f"),
-                            ("recommended_action", "s"), ("direction", "s")],
+                            ("recommended_action", "s"), ("overtaken_by", "i"), ("overtakes", "i")],
+    "outage_patterns": [("asset_id", "s"), ("asset_type", "s"), ("failure_count", "i"),
+                        ("outages", "i"), ("outage_hours", "i"), ("longest_outage_hours", "i"),
+                        ("largest_outages_hours", "i"), ("pct_of_largest_outages", "f"),
+                        ("outage_pattern", "s")],
     "contract_nulls": [("table_name", "s"), ("column_name", "s"), ("required", "i"),
                        ("row_count", "i"), ("null_count", "i")],
     "maintenance_keyed": [("maintenance_id", "i"), ("asset_id", "s"), ("maintenance_date", "d"),
                           ("cost_usd", "f"), ("failure_type", "s"), ("downtime_hours", "i")],
 }
 
+CONTRACT["priority_inversions_scaled"] = CONTRACT["priority_inversions"]
+
+#: The same reports with NULLs left out of the ranking.
+MEASURED = ("cost_concentration", "cost_efficiency_bands", "downtime_concentration",
+            "high_downtime_high_output", "risk_scores")
+CONTRACT |= {f"{key}_measured": CONTRACT[key] for key in MEASURED}
+
 _SPARK_TYPES = {"s": "string", "i": "bigint", "f": "double"}
 
 
@@ -151,8 +165,13 @@ def _scored(m: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
     return risk.risk_scores(risk.asset_reliability(m, p, e))
 
 
+def _measured(view: DataFrame) -> DataFrame:
+    return risk.risk_scores(view, null_policy="exclude")
+
+
 # Every named query as a function of the three domain tables (maintenance,
-# production, emissions). Unused inputs cost nothing: DataFrames are lazy.
+# production, emissions). An input that a query does not use costs nothing.
+# Rankings write their ordered tables while the DataFrame is built.
 OPERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "dq_row_counts": lambda m, p, e: quality.row_counts(m, p, e),
     "dq_asset_types": lambda m, p, e: quality.asset_types(m),
@@ -184,7 +203,17 @@ OPERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "fanout_audit": lambda m, p, e: legacy.fanout_audit(m, p, e),
     "fixed_threshold_flags": lambda m, p, e: legacy.fixed_threshold_flags(m),
     "rule_ladder": lambda m, p, e: legacy.rule_ladder(m),
+    "tier_mismatches": lambda m, p, e: legacy.tier_mismatches(_scored(m, p, e)),
     "priority_inversions": lambda m, p, e: legacy.priority_inversions(_scored(m, p, e)),
+    "priority_inversions_scaled":
+        lambda m, p, e: legacy.priority_inversions(_scored(m, p, e), legacy.scaled_ladder(10)),
+    "outage_patterns": lambda m, p, e: reliability.outage_patterns(m),
+    "cost_concentration_measured": lambda m, p, e: cost.cost_concentration(m, null_policy="exclude"),
+    "cost_efficiency_bands_measured": lambda m, p, e: cost.cost_efficiency_bands(m, p, null_policy="exclude"),
+    "downtime_concentration_measured": lambda m, p, e: reliability.downtime_concentration(m, null_policy="exclude"),
+    "high_downtime_high_output_measured":
+        lambda m, p, e: reliability.high_downtime_high_output(m, p, null_policy="exclude"),
+    "risk_scores_measured": lambda m, p, e: _measured(risk.asset_reliability(m, p, e)),
     "maintenance_keyed": lambda m, p, e: contract.with_surrogate_key(m),
     "contract_nulls": lambda m, p, e: contract.null_counts(
         {"maintenance": m, "production": p, "emissions": e}),
@@ -197,12 +226,15 @@ FROM_VIEW = {
     "emissions_failures": risk.emissions_failures,
     "emissions_quartiles": risk.emissions_quartiles,
     "dual_p90": risk.dual_p90,
+    "risk_scores_measured": _measured,
 }
 FROM_SCORES = {
     "risk_scores": lambda s: s,
     "action_bands": risk.action_bands,
     "worklist": risk.worklist,
+    "tier_mismatches": legacy.tier_mismatches,
     "priority_inversions": legacy.priority_inversions,
+    "priority_inversions_scaled": lambda s: legacy.priority_inversions(s, legacy.scaled_ladder(10)),
 }
 
 

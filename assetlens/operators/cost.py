@@ -43,21 +43,25 @@ def cost_by_asset(m: DataFrame) -> DataFrame:
 
 def pareto(per_asset: DataFrame, value: str, rank_name: str, total_name: str,
            pct_name: str, cum_name: str, scale: int,
-           buckets: int | None = None) -> DataFrame:
+           buckets: int | None = None, null_policy: str = "rank") -> DataFrame:
     """Concentration table: rank by ``value`` desc, share and cumulative share.
 
     ``ROW_NUMBER`` and the running SUM use distributed positions; ties are
     broken by ``asset_id`` so the result is deterministic. Assets whose value
-    is NULL rank first (PostgreSQL DESC order) with NULL shares.
+    is NULL rank first (PostgreSQL DESC order) with NULL shares, or have no rank
+    where ``null_policy`` is ``"exclude"``.
     """
-    ranked = ranking.positions(per_asset, [desc(value), asc("asset_id")],
+    exclude = ranking.excludes_nulls(null_policy)
+    first = F.col(value).desc_nulls_last() if exclude else desc(value)
+    ranked = ranking.positions(per_asset, [first, asc("asset_id")],
                                sums={"v": F.col(value)}, buckets=buckets)
+    kept = F.col(value).isNotNull()
     return ranked.select(
-        F.col("_pos").alias(rank_name),
+        (F.when(kept, F.col("_pos")) if exclude else F.col("_pos")).alias(rank_name),
         *[c for c in per_asset.columns if c != value],
         F.col(value).alias(total_name),
         pct(value, "_tot_v", 3, scale=scale).alias(pct_name),
-        pct("_cum_v", "_tot_v", 2, scale=scale).alias(cum_name),
+        pct(F.when(kept, F.col("_cum_v")) if exclude else "_cum_v", "_tot_v", 2, scale=scale).alias(cum_name),
     )
 
 
@@ -73,14 +77,14 @@ def assets_to_reach(concentration: DataFrame, share, rank_col: str = "cost_rank"
         F.min(rank_col).alias("assets_needed"))
 
 
-def cost_concentration(m: DataFrame, buckets: int | None = None) -> DataFrame:
+def cost_concentration(m: DataFrame, buckets: int | None = None, null_policy: str = "rank") -> DataFrame:
     """1.2 Pareto of spend."""
     per_asset = maintenance_by_asset(m).select(
         "asset_id", asset_class("asset_id").alias("asset_type"),
         F.col("events").alias("maintenance_events"), "total_cost")
     return pareto(per_asset, "total_cost", "cost_rank", "total_cost",
                   "pct_of_total_spend", "cumulative_pct_of_spend", COST_SCALE,
-                  buckets).orderBy("cost_rank")
+                  buckets, null_policy).orderBy(asc("cost_rank"), asc("asset_id"))
 
 
 def cost_by_type(m: DataFrame) -> DataFrame:
@@ -131,14 +135,20 @@ def wells_without_production(m: DataFrame, p: DataFrame) -> DataFrame:
     ).orderBy(desc("total_maintenance_cost"), asc("asset_id"))
 
 
-def cost_efficiency_bands(m: DataFrame, p: DataFrame, buckets: int | None = None) -> DataFrame:
-    """1.6 Quartiles of cost per barrel (unrounded) for wells with oil > 0."""
+def cost_efficiency_bands(m: DataFrame, p: DataFrame, buckets: int | None = None,
+                          null_policy: str = "rank") -> DataFrame:
+    """1.6 Quartiles of cost per barrel (unrounded) for wells with oil > 0.
+
+    A well whose cost is unknown is in the worst quarter, as in the reference,
+    or in none where ``null_policy`` is ``"exclude"``.
+    """
     maint = maintenance_by_asset(m)
     prod = production_by_well(p).where(F.col("total_oil") > 0)
     j = maint.join(prod, maint["asset_id"] == prod["well_id"], "inner").select(
         "asset_id", "events", "total_cost", "total_oil",
         (F.col("total_cost") / F.col("total_oil").cast("decimal(20,0)")).alias("_cpb"))
-    banded = ranking.with_ntile(j, [desc("_cpb"), asc("asset_id")], 4, "_q", buckets)
+    banded = ranking.with_ntile(j, [desc("_cpb"), asc("asset_id")], 4, "_q", buckets,
+                                F.col("_cpb").isNotNull() if ranking.excludes_nulls(null_policy) else None)
     return banded.select(
         "asset_id",
         F.col("events").alias("maintenance_events"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import asc, asset_class, desc
 from .risk import ACTION_LABELS
+from ..plans import ranking
 from ..plans.summaries import emissions_by_asset, maintenance_by_asset, production_by_well
 
 # Fixed values that must equal the reference (original queries 7 and 9).
@@ -107,25 +108,62 @@ def rule_ladder(m: DataFrame, ladder=LADDER, otherwise: str = LADDER_ELSE) -> Da
     ).orderBy(asc("asset_id"))
 
 
-def priority_inversions(scored: DataFrame, ladder=LADDER,
-                        otherwise: str = LADDER_ELSE) -> DataFrame:
-    """Assets that the rule ladder and the score put in different tiers.
+def scaled_ladder(times: int) -> tuple:
+    """The ladder with every threshold ``times`` as high, for longer histories
+    (the fixed thresholds put a fleet with many events per asset in one tier)."""
+    return tuple((what, threshold * times, label) for what, threshold, label in LADDER)
 
-    Both scales have four tiers, most urgent first: the ladder's labels in
-    rule order, the score's action bands in label order. ``direction`` says
-    which one ranks the asset higher. The scored fleet (3.4) already carries
-    each asset's event count and downtime, so no second pass over the events.
-    """
+
+def _tiers(scored: DataFrame, ladder, otherwise: str) -> DataFrame:
+    """The scored fleet (3.4) with each asset's ladder label and tier (``_l``, 1 is the
+    most urgent); it carries event counts and downtime, so no second pass over the events."""
     labels = [label for _, _, label in ladder] + [otherwise]
-    tier = lambda c, names: F.array_position(F.array(*[F.lit(x) for x in names]), F.col(c))
+    action = ladder_action(F.col("failure_count"), F.col("total_downtime_hours"), ladder, otherwise)
     return scored.select(
         "asset_id",
         F.col("failure_count").alias("failures"),
         F.col("total_downtime_hours").alias("downtime"),
-        ladder_action(F.col("failure_count"), F.col("total_downtime_hours"), ladder, otherwise)
-        .alias("maintenance_action"),
+        action.alias("maintenance_action"),
         "risk_score", "recommended_action",
-    ).withColumn("_l", tier("maintenance_action", labels)).withColumn("_s", tier("recommended_action", ACTION_LABELS)) \
-        .where("_l <> _s") \
+    ).withColumn("_l", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("maintenance_action")))
+
+
+def tier_mismatches(scored: DataFrame, ladder=LADDER, otherwise: str = LADDER_ELSE) -> DataFrame:
+    """Assets that the rule ladder and the score put in different tiers.
+
+    Both scales have four tiers, most urgent first: the ladder's labels in
+    rule order, the score's action bands in label order. ``direction`` says
+    which one ranks the asset higher. The tiers' sizes differ, so most of a
+    fleet can be listed; :func:`priority_inversions` compares the orders.
+    """
+    band = F.array_position(F.array(*[F.lit(x) for x in ACTION_LABELS]), F.col("recommended_action"))
+    return _tiers(scored, ladder, otherwise).withColumn("_s", band).where("_l <> _s") \
         .withColumn("direction", F.when(F.col("_l") < F.col("_s"), "ladder higher").otherwise("score higher")) \
         .drop("_l", "_s").orderBy(desc("risk_score"), asc("asset_id"))
+
+
+def priority_inversions(scored: DataFrame, ladder=LADDER, otherwise: str = LADDER_ELSE,
+                        buckets: int | None = None) -> DataFrame:
+    """Pairs of assets that the rule ladder and the score put in opposite order, counted per asset.
+
+    ``overtaken_by`` counts the assets that the ladder puts in a more urgent
+    tier although their score is lower, ``overtakes`` those in a less urgent
+    tier although their score is higher. Assets with neither are left out.
+
+    No pair is formed: the score histogram holds one count per tier, its
+    running sums over score positions give the assets of each tier below and
+    above a score, and every asset reads its two counts off the histogram.
+    Assets without a score have no order and are left out.
+    """
+    tiers = range(1, len(ladder) + 2)
+    fleet = ranking.materialize(_tiers(scored, ladder, otherwise).where(F.col("risk_score").isNotNull()), "tiers")
+    hist = fleet.groupBy("risk_score").agg(*[F.count_if(F.col("_l") == t).alias(f"_t{t}") for t in tiers])
+    sums = ranking.positions(hist, [asc("risk_score")], sums={f"t{t}": F.col(f"_t{t}") for t in tiers}, buckets=buckets)
+    below = {t: F.col(f"_cum_t{t}") - F.col(f"_t{t}") for t in tiers}
+    above = {t: F.col(f"_tot_t{t}") - F.col(f"_cum_t{t}") for t in tiers}
+    total = lambda counts, on: sum((F.when(on(F.col("_l"), t), counts[t]).otherwise(F.lit(0)) for t in tiers), F.lit(0))
+    return fleet.join(sums, "risk_score").select(
+        "asset_id", "failures", "downtime", "maintenance_action", "risk_score", "recommended_action",
+        total(below, lambda own, t: own > t).alias("overtaken_by"),
+        total(above, lambda own, t: own < t).alias("overtakes"),
+    ).where("overtaken_by + overtakes > 0").orderBy(desc("overtaken_by"), desc("overtakes"), asc("asset_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +48,14 @@ def downtime_by_asset(m: DataFrame) -> DataFrame:
     ).orderBy(desc("total_downtime_hours"), asc("asset_id"))
 
 
-def downtime_concentration(m: DataFrame, buckets: int | None = None) -> DataFrame:
+def downtime_concentration(m: DataFrame, buckets: int | None = None, null_policy: str = "rank") -> DataFrame:
     """2.3 Pareto of downtime hours."""
     per_asset = maintenance_by_asset(m).select(
         "asset_id", asset_class("asset_id").alias("asset_type"),
         F.col("events").alias("failure_count"), "total_downtime")
     return pareto(per_asset, "total_downtime", "downtime_rank", "total_downtime",
                   "pct_of_total_downtime", "cumulative_pct_of_downtime", 0,
-                  buckets).orderBy("downtime_rank")
+                  buckets, null_policy).orderBy(asc("downtime_rank"), asc("asset_id"))
 
 
 def failure_modes(m: DataFrame) -> DataFrame:
@@ -115,11 +117,13 @@ def downtime_vs_production(m: DataFrame, p: DataFrame) -> DataFrame:
     ).orderBy(desc("total_downtime_hours"), asc("asset_id"))
 
 
-def high_downtime_high_output(m: DataFrame, p: DataFrame, buckets: int | None = None) -> DataFrame:
+def high_downtime_high_output(m: DataFrame, p: DataFrame, buckets: int | None = None,
+                              null_policy: str = "rank") -> DataFrame:
     """2.7 Wells in the top downtime quartile and the top production quartile.
 
     Quartiles are taken over the wells left after the join and the oil > 0
-    filter, as in the reference.
+    filter, as in the reference. There a well without recorded downtime is in the
+    top downtime quartile; ``null_policy="exclude"`` gives it no quartile.
     """
     d = maintenance_by_asset(m).where(is_well("asset_id"))
     o = production_by_well(p).where(F.col("total_oil") > 0)
@@ -128,7 +132,7 @@ def high_downtime_high_output(m: DataFrame, p: DataFrame, buckets: int | None =
     # NTILE(4) OVER (ORDER BY total_downtime DESC) and (ORDER BY total_oil DESC), NULLs first
     j = ranking.with_ntiles(j, [("downtime_quartile", "total_downtime", True, True),
                                 ("production_quartile", "total_oil", True, True)], 4,
-                            buckets=buckets)
+                            buckets=buckets, null_policy=null_policy)
     return j.where((F.col("downtime_quartile") == 1) & (F.col("production_quartile") == 1)).select(
         "asset_id", "failure_count",
         F.col("total_downtime").alias("total_downtime_hours"),
@@ -138,6 +142,49 @@ def high_downtime_high_output(m: DataFrame, p: DataFrame, buckets: int | None =
     ).orderBy(desc("total_downtime_hours"), desc("total_oil_barrels"), asc("asset_id"))
 
 
+# Cut-offs of the outage pattern (ours: the reference names the two patterns and gives no number).
+MAJOR_OUTAGES = 1             # how many of the largest outages are looked at
+MAJOR_SHARE = 50              # their share of the asset's downtime, in percent, from which it is "major"
+CHRONIC_OUTAGES = 3           # outages from which the rest is "chronic"
+OUTAGE_PATTERNS = ("major outage", "chronic", "few outages", "no downtime recorded")
+
+
+def outage_patterns(m: DataFrame, largest: int = MAJOR_OUTAGES, share=MAJOR_SHARE,
+                    chronic: int = CHRONIC_OUTAGES) -> DataFrame:
+    """Does an asset's downtime come from a few long outages or from many short ones?
+
+    An outage is an event with downtime above zero. ``major outage``: the
+    ``largest`` longest outages make up ``share`` percent of the downtime or
+    more (compared exactly, before rounding); else ``chronic`` from ``chronic``
+    outages on, ``few outages`` below. The longest outages are read off each
+    asset's histogram of hours, so an asset with a third of all events is a few
+    rows and no event list is sorted.
+    """
+    hours = F.col("downtime_hours")
+    hist = m.groupBy("asset_id", F.when(hours > 0, hours).alias("hours")).agg(F.count(F.lit(1)).alias("n"))
+    longest = Window.partitionBy("asset_id").orderBy(desc("hours"))
+    # NULL hours (no outage) come first and count nothing
+    outages = F.when(F.col("hours").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    before = F.sum(outages).over(longest.rowsBetween(Window.unboundedPreceding, -1))
+    taken = F.greatest(F.least(outages, F.lit(largest) - F.coalesce(before, F.lit(0))), F.lit(0))
+    a = hist.withColumn("_out", outages).withColumn("_top", taken).groupBy("asset_id").agg(
+        F.sum("n").alias("failure_count"), F.sum("_out").alias("outages"),
+        F.coalesce(F.sum(F.col("hours") * F.col("_out")), F.lit(0)).alias("outage_hours"),
+        F.max("hours").alias("longest_outage_hours"),
+        F.coalesce(F.sum(F.col("hours") * F.col("_top")), F.lit(0)).alias("largest_outages_hours"))
+    # share is taken as written: 33.3 is 333 / 1000 of the downtime
+    part = Decimal(str(share))
+    major = F.col("largest_outages_hours").cast("decimal(24,0)") * F.lit(100) >= F.lit(part) * F.col("outage_hours").cast("decimal(24,0)")
+    labels = [F.lit(x) for x in OUTAGE_PATTERNS]
+    return a.select(
+        "asset_id", asset_class("asset_id").alias("asset_type"), "failure_count", "outages", "outage_hours",
+        "longest_outage_hours", "largest_outages_hours",
+        pct("largest_outages_hours", F.nullif(F.col("outage_hours"), F.lit(0)), 1).alias("pct_of_largest_outages"),
+        F.when(F.col("outages") == 0, labels[3]).when(major, labels[0])
+        .when(F.col("outages") >= chronic, labels[1]).otherwise(labels[2]).alias("outage_pattern"),
+    ).orderBy(desc("outage_hours"), asc("asset_id"))
+
+
 def reliability_yearly(m: DataFrame) -> DataFrame:
     """2.8 Failures and lost hours by year with year-on-year change."""
     y = m.groupBy(F.year("maintenance_date").alias("year")).agg(

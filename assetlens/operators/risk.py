@@ -137,7 +137,7 @@ def _weight_units(weights) -> tuple[list[int], int]:
 
 
 def risk_scores(view: DataFrame, weights=DEFAULT_WEIGHTS, cutoffs=DEFAULT_CUTOFFS,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, null_policy: str = "rank") -> DataFrame:
     """3.4 Weighted percent-rank score (0-100, 1 dp) and recommended action.
 
     ``PERCENT_RANK`` of downtime, failure count and cost (ascending, NULLs
@@ -146,21 +146,36 @@ def risk_scores(view: DataFrame, weights=DEFAULT_WEIGHTS, cutoffs=DEFAULT_CUTOFF
     ``sum(w_i * (rank_i - 1)) / (n - 1)``, and rounded half up once, which
     is what the reference's double arithmetic yields after its cast to
     numeric. Bands test the rounded score.
+
+    A NULL metric ranks last, so an asset without recorded downtime gets up to
+    50 points, as in the reference. With ``null_policy="exclude"`` it has no
+    rank, does not count in its metric's n, and contributes NULL: the score is
+    the sum of the measured components. It is exact for fleets of up to 10**10
+    assets (three counts multiplied, within 38 digits).
     """
+    exclude = ranking.excludes_nulls(null_policy)
     units, denom = _weight_units(weights)
     v = ranking.materialize(view.select(
         "asset_id", "asset_type", "failure_count", "total_downtime_hours",
         "total_maintenance_cost", "most_common_failure_type", "total_oil_barrels",
         "latest_failure"))
     # the three percent ranks come from one distributed pass over value histograms
-    v = ranking.with_ranks(v, {"total_downtime_hours": "_rd", "failure_count": "_rf",
-                               "total_maintenance_cost": "_rc"}, key="asset_id", n_name="_n",
-                           buckets=buckets)
+    ranks = ("_rd", "_rf", "_rc")
+    v = ranking.with_ranks(v, dict(zip(("total_downtime_hours", "failure_count", "total_maintenance_cost"), ranks)),
+                           key="asset_id", n_name="_n", buckets=buckets, null_policy=null_policy)
     # 100 * w * (r - 1) / (n - 1) with w = unit / denom  ->  unit * (r - 1) / (denom/100 * (n-1))
-    den = F.when(F.col("_n") > 1, (F.col("_n") - 1) * F.lit(denom)).otherwise(F.lit(denom))
-    parts = [F.lit(u) * (F.col(r) - 1) * F.lit(100) for u, r in zip(units, ("_rd", "_rf", "_rc"))]
-    score = round_ratio(parts[0] + parts[1] + parts[2], den, 1, precision=4)
-    contrib = [round_ratio(pt, den, 1, precision=4) for pt in parts]
+    parts = [F.lit(u) * (F.col(r) - 1) * F.lit(100) for u, r in zip(units, ranks)]
+    steps = [F.greatest(F.coalesce(F.col(r + "_n" if exclude else "_n"), F.lit(1)) - 1, F.lit(1)) for r in ranks]
+    contrib = [round_ratio(pt, n * F.lit(denom), 1, precision=4) for pt, n in zip(parts, steps)]
+    if exclude:
+        # over the common denominator of the three counts
+        a, b, c = (n.cast("decimal(12,0)") for n in steps)
+        known = [F.coalesce(pt, F.lit(0)).cast("decimal(18,0)") for pt in parts]
+        whole = known[0] * b * c + known[1] * a * c + known[2] * a * b
+        measured = F.coalesce(*parts).isNotNull()
+        score = F.when(measured, round_ratio(whole.cast("decimal(38,0)"), (a * b * c).cast("decimal(38,0)") * F.lit(denom), 1, precision=4))
+    else:
+        score = round_ratio(parts[0] + parts[1] + parts[2], steps[0] * F.lit(denom), 1, precision=4)
     c1, c2, c3 = (F.lit(Decimal(str(c))) for c in cutoffs)
     action = (F.when(F.col("risk_score") >= c1, ACTION_LABELS[0])
               .when(F.col("risk_score") >= c2, ACTION_LABELS[1])

@@ -27,6 +27,7 @@ import atexit
 import contextlib
 import contextvars
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,10 +173,17 @@ def with_row_number(df: DataFrame, order: list[Column], name: str,
 
 
 def with_ntile(df: DataFrame, order: list[Column], k: int, name: str,
-               buckets: int | None = None) -> DataFrame:
-    """``NTILE(k) OVER (ORDER BY order)`` as column ``name``."""
-    p = positions(df, order, buckets=buckets)
-    return p.withColumn(name, ntile_of("_pos", "_n", k)).drop("_pos", "_n")
+               buckets: int | None = None, measured: Column | None = None) -> DataFrame:
+    """``NTILE(k) OVER (ORDER BY order)`` as column ``name``.
+
+    With ``measured`` (a condition that ``order`` puts first), only the rows it
+    holds for are cut into tiles; the others' tile is NULL.
+    """
+    if measured is None:
+        p = positions(df, order, buckets=buckets)
+        return p.withColumn(name, ntile_of("_pos", "_n", k)).drop("_pos", "_n")
+    p = positions(df, [measured.desc(), *order], sums={"m": measured.cast("long")}, buckets=buckets)
+    return p.withColumn(name, F.when(measured, ntile_of("_pos", "_tot_m", k))).drop("_pos", "_n", "_cum_m", "_tot_m")
 
 
 def _check_exact(df: DataFrame, metrics: list[str], value_type: str) -> None:
@@ -206,17 +214,30 @@ def _stack(df: DataFrame, metrics: list[str], value_type: str, keep: list[str])
         *keep, "_s._metric", "_s._value")
 
 
+#: What a ranking does with NULL values: rank them as the reference's ORDER BY does,
+#: or give them no rank and leave them out of the row count.
+NULL_POLICIES = ("rank", "exclude")
+
+
+def excludes_nulls(null_policy: str) -> bool:
+    if null_policy not in NULL_POLICIES:
+        raise ValueError(f"null_policy is one of {NULL_POLICIES}, not {null_policy!r}")
+    return null_policy == "exclude"
+
+
 def rank_tables(df: DataFrame, metrics: list[str], value_type: str = "decimal(38,6)",
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, null_policy: str = "rank") -> DataFrame:
     """``RANK() OVER (ORDER BY m)`` (ascending, NULLs last as one peer group) for
     several metrics in one distributed pass.
 
     Returns ``_metric, _value, _rank, _n``: one row per distinct value of each
-    metric (NULL included). Ranking runs on the value histogram, so a value
-    shared by a third of the fleet is a single row.
+    metric (NULL included, unless ``null_policy`` excludes it). Ranking runs on
+    the value histogram, so a value shared by a third of the fleet is a single row.
     """
-    hist = (_stack(df, metrics, value_type, [])
-            .groupBy("_metric", "_value").agg(F.count(F.lit(1)).alias("_cnt")))
+    stacked = _stack(df, metrics, value_type, [])
+    if excludes_nulls(null_policy):
+        stacked = stacked.where(F.col("_value").isNotNull())
+    hist = stacked.groupBy("_metric", "_value").agg(F.count(F.lit(1)).alias("_cnt"))
     ranked = positions(hist, [F.col("_metric").asc(), F.col("_value").asc_nulls_last()],
                        sums={"cnt": F.col("_cnt")}, buckets=buckets, within="_metric")
     return ranked.select(
@@ -227,16 +248,20 @@ def rank_tables(df: DataFrame, metrics: list[str], value_type: str = "decimal(38
 
 def with_ranks(df: DataFrame, metrics: dict[str, str], key: str = "asset_id",
                n_name: str = "_n", value_type: str = "decimal(38,6)",
-               buckets: int | None = None) -> DataFrame:
+               buckets: int | None = None, null_policy: str = "rank") -> DataFrame:
     """Attach ``RANK`` of each metric column as ``metrics[col]`` and the row count.
 
+    With ``null_policy="exclude"`` a NULL has a NULL rank, and the counts differ
+    by metric: ``metrics[col] + n_name`` holds the ranked rows of each.
+
     One plan for every size: the fleet's (key, metric, value) rows join the
     rank table on (metric, value), NULL-safe, and fold back to one row per
     ``key`` (unique). Spark picks the join at run time and splits skewed
     values; nothing is counted or broadcast by hand.
     """
     cols = list(metrics)
-    rt = rank_tables(df, cols, value_type, buckets).select(
+    exclude = excludes_nulls(null_policy)
+    rt = rank_tables(df, cols, value_type, buckets, null_policy).select(
         F.col("_metric").alias("_rm"), F.col("_value").alias("_rv"), "_rank", "_n")
     stacked = _stack(df, cols, value_type, [key])
     j = stacked.join(rt, (stacked["_metric"] == rt["_rm"]) & stacked["_value"].eqNullSafe(rt["_rv"]),
@@ -245,20 +270,25 @@ def with_ranks(df: DataFrame, metrics: dict[str, str], key: str = "asset_id",
     ranks = j.groupBy(key).agg(
         *[F.max(F.when(F.col("_metric") == i, F.col("_rank"))).alias(metrics[c])
           for i, c in enumerate(cols)],
-        F.max("_n").alias(n_name))
-    return df.join(ranks, key, "inner")
+        *([F.max(F.when(F.col("_metric") == i, F.col("_n"))).alias(metrics[c] + n_name)
+           for i, c in enumerate(cols)] if exclude else [F.max("_n").alias(n_name)]))
+    return df.join(ranks, key, "left" if exclude else "inner")
 
 
 def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
                 tie: str = "asset_id", value_type: str = "decimal(38,6)",
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, null_policy: str = "rank") -> DataFrame:
     """``NTILE(k)`` for several orders in one distributed pass.
 
     ``specs`` holds ``(output_name, value_column, descending, nulls_first)``;
     ``tie`` (unique per row) breaks ties so the tiles are deterministic.
+    Excluded NULLs have a NULL tile, and the tiles are cut over the other rows.
     """
     metrics = [value for _, value, _, _ in specs]
     stacked = _stack(df, metrics, value_type, [tie])
+    exclude = excludes_nulls(null_policy)
+    if exclude:
+        stacked = stacked.where(F.col("_value").isNotNull())
     # one sort for all metrics: flip ascending metrics, place NULLs explicitly
     key, nulls_rank = F.col("_value"), F.lit(1)
     for i, (_, _, descending, nulls_first) in enumerate(specs):
@@ -275,7 +305,7 @@ def with_ntiles(df: DataFrame, specs: list[tuple[str, str, bool, bool]], k: int,
     tiles = pos.groupBy(tie).agg(*[
         F.max(F.when(F.col("_metric") == i, F.col("_tile"))).alias(name)
         for i, (name, _, _, _) in enumerate(specs)])
-    return df.join(tiles, tie, "inner")
+    return df.join(tiles, tie, "left" if exclude else "inner")
 
 
 def percentile_conts(df: DataFrame, metrics: list[str], fraction: float,
@@ -283,42 +313,53 @@ def percentile_conts(df: DataFrame, metrics: list[str], fraction: float,
                      buckets: int | None = None) -> list[float | None]:
     """``PERCENTILE_CONT(fraction) WITHIN GROUP (ORDER BY m)`` per metric, NULLs ignored.
 
-    Exact: the order statistics around ``fraction * (n - 1)`` are located on
-    the value histograms with one distributed ranking pass; only the
-    histogram rows covering those positions (at most two per metric) reach
-    the driver. Interpolation follows PostgreSQL in double arithmetic,
+    Exact selection without a sort or a written table: each order statistic
+    around ``fraction * (n - 1)`` lies in a range of values, at first the whole
+    one. A pass cuts every range into ``buckets`` (1024 by default) equal parts,
+    counts the values in each and goes on in the part that holds the wanted
+    position, so log(range) / log(buckets) passes end in a single value. A pass
+    brings at most two ranges of counts per metric to the driver, whatever the
+    rows; ``df`` is read once per pass, so hand over a written table.
+    Interpolation follows PostgreSQL in double arithmetic,
     ``lo + (hi - lo) * proportion``, so threshold comparisons agree with it.
     """
-    hist = (_stack(df, metrics, value_type, []).where(F.col("_value").isNotNull())
-            .groupBy("_metric", "_value").agg(F.count(F.lit(1)).alias("_cnt")))
-    ranked = positions(hist, [F.col("_metric").asc(), F.col("_value").asc()],
-                       sums={"cnt": F.col("_cnt")}, buckets=buckets, within="_metric")
-    # fraction * (n - 1) in double, as PostgreSQL computes it (IEEE, same as Python)
-    pos = F.lit(float(fraction)) * (F.col("_tot_cnt") - F.lit(1)).cast("double")
-    first = F.floor(pos).cast("long")
-    second = F.ceil(pos).cast("long")
-    start = F.col("_cum_cnt") - F.col("_cnt")          # 0-based first position of the value
-    covers = lambda k: (start <= k) & (F.col("_cum_cnt") > k)
-    rows = (ranked.where(covers(first) | covers(second))
-            .select("_metric", "_value", "_cnt", "_cum_cnt", "_tot_cnt").collect())
-    wanted = {}
-    for r in rows:
-        n = r["_tot_cnt"]
-        p = fraction * float(n - 1)
-        wanted[r["_metric"]] = (p, math.floor(p), math.ceil(p))
-
-    def at(i, kpos):
-        for r in rows:
-            if r["_metric"] == i and r["_cum_cnt"] - r["_cnt"] <= kpos < r["_cum_cnt"]:
-                return float(r["_value"])
-        raise AssertionError("order statistic not found")
-
+    from pyspark.sql import types as T
+    _check_exact(df, metrics, value_type)
+    parts = max(2, buckets or 1024)
+    scale = T._parse_datatype_string(value_type).scale
+    units = [F.col(m).cast(value_type).cast(f"decimal(38,{scale})") * F.lit(Decimal(10) ** scale) for m in metrics]
+    whole = df.select(*[u.cast("decimal(38,0)").alias(f"_u{i}") for i, u in enumerate(units)])
+    seen = whole.agg(*[f(f"_u{i}").alias(f"{n}{i}") for i in range(len(metrics))
+                       for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    # (metric, position) -> [lowest value, highest value, position counted from the lowest]
+    place, ranges = {}, {}
+    for i in range(len(metrics)):
+        if seen[f"n{i}"]:
+            # fraction * (n - 1) in double, as PostgreSQL computes it (IEEE, same as Python)
+            place[i] = fraction * float(seen[f"n{i}"] - 1)
+            for k in {math.floor(place[i]), math.ceil(place[i])}:
+                ranges[i, k] = [int(seen[f"lo{i}"]), int(seen[f"hi{i}"]), k]
+    whole_number = lambda x: F.lit(Decimal(x)).cast("decimal(38,0)")
+    while open_ := [t for t, (lo, hi, _) in ranges.items() if lo < hi]:
+        width = {t: -(-(ranges[t][1] - ranges[t][0] + 1) // parts) for t in open_}
+        marks = [F.when(F.col(f"_u{t[0]}").between(whole_number(ranges[t][0]), whole_number(ranges[t][1])),
+                        F.struct(F.lit(j).alias("t"), F.call_function("div", F.col(f"_u{t[0]}") - whole_number(ranges[t][0]), whole_number(width[t]))
+                                 .cast("int").alias("part"))) for j, t in enumerate(open_)]
+        counts = whole.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.t", "m.part").count().collect()
+        for j, t in enumerate(open_):
+            lo, hi, k = ranges[t]
+            for part, n in sorted((r["part"], r["count"]) for r in counts if r["t"] == j):
+                if k < n:
+                    ranges[t] = [lo + part * width[t], min(hi, lo + (part + 1) * width[t] - 1), k]
+                    break
+                k -= n
+    value = {t: float(Decimal(lo).scaleb(-scale)) for t, (lo, _, _) in ranges.items()}
     out = []
     for i in range(len(metrics)):
-        if i not in wanted:
+        if i not in place:
             out.append(None)
             continue
-        pos, lo, hi = wanted[i]
-        first, second = at(i, lo), at(i, hi)
-        out.append(first if lo == hi else first + (second - first) * (pos - lo))
+        lo, hi = math.floor(place[i]), math.ceil(place[i])
+        first, second = value[i, lo], value[i, hi]
+        out.append(first if lo == hi else first + (second - first) * (place[i] - lo))
     return out
