@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cost, legacy, quality, reliability, risk
-from .plans.ranking import materialize
-from .sources import contract
+from .plans.ranking import materialize, workspace
+from .sources import contract, files, schemas
 from .sources import projection as proj
+from .sources.asset_mart import AssetMart, in_period
+from .sources.marts import Mart
 
 # s = string, i = bigint, f = double, d = date as ISO text
 CONTRACT: dict[str, list[tuple[str, str]]] = {
@@ -141,6 +143,11 @@ CONTRACT: dict[str, list[tuple[str, str]]] = {
                           ("cost_usd", "f"), ("failure_type", "s"), ("downtime_hours", "i")],
 }
 
+CONTRACT["asset_reliability_mart"] = CONTRACT["asset_reliability"]
+CONTRACT["maintenance_appended"] = CONTRACT["maintenance_keyed"]
+CONTRACT["load_rejects"] = [("asset_id", "s"), ("maintenance_date", "d"), ("cost_usd", "f"),
+                            ("failure_type", "s"), ("downtime_hours", "i"), ("reasons", "s")]
+CONTRACT["load_reject_counts"] = [("reason", "s"), ("row_count", "i")]
 CONTRACT["priority_inversions_scaled"] = CONTRACT["priority_inversions"]
 
 #: The same reports with NULLs left out of the ranking.
@@ -169,6 +176,30 @@ def _measured(view: DataFrame) -> DataFrame:
     return risk.risk_scores(view, null_policy="exclude")
 
 
+FIRST_LOAD_ENDS = "1995-01-01"      # maintenance_appended: events before it are loaded first
+
+
+def _appended(m: DataFrame) -> DataFrame:
+    """S4 over two loads: the events up to a date, then the whole table."""
+    spark = m.sparkSession
+    mart = Mart(spark, workspace(spark).folder("event-mart"))
+    contract.append_keyed(mart, m.where(F.col("maintenance_date") < F.lit(FIRST_LOAD_ENDS).cast("date")))
+    return contract.append_keyed(mart, m)
+
+
+def _view_from_mart(m: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
+    """3.1 from stored states: every year but the newest built at once, that one added."""
+    spark = m.sparkSession
+    newest = m.agg(F.max(F.year("maintenance_date")).cast("string")).first()[0]
+    mart = AssetMart(spark, workspace(spark).folder("asset-mart"), buckets=8, grain="year")
+    dates = ("maintenance_date", "production_date", "reading_date")
+    older = [t.where(~F.coalesce(in_period(d, newest), F.lit(False))) if newest else t for t, d in zip((m, p, e), dates)]
+    mart.build(*older)
+    if newest:
+        mart.put(newest, m, p, e)
+    return mart.view()
+
+
 # Every named query as a function of the three domain tables (maintenance,
 # production, emissions). An input that a query does not use costs nothing.
 # Rankings write their ordered tables while the DataFrame is built.
@@ -215,6 +246,8 @@ OPERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
         lambda m, p, e: reliability.high_downtime_high_output(m, p, null_policy="exclude"),
     "risk_scores_measured": lambda m, p, e: _measured(risk.asset_reliability(m, p, e)),
     "maintenance_keyed": lambda m, p, e: contract.with_surrogate_key(m),
+    "maintenance_appended": lambda m, p, e: _appended(m),
+    "asset_reliability_mart": _view_from_mart,
     "contract_nulls": lambda m, p, e: contract.null_counts(
         {"maintenance": m, "production": p, "emissions": e}),
 }
@@ -266,5 +299,21 @@ def query(key: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: conform(op(*proj.tables(spark, sf_dir)), key)
 
 
+def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a CSV file with defects, written, loaded and judged."""
+    path = workspace(spark).folder("raw-lines")
+    proj.raw_maintenance_lines(spark, sf_dir).write.text(path)
+    loaded = files.read_maintenance_csv(spark, path, mode="PERMISSIVE", header=False)
+    return contract.split_rejects(loaded, schemas.MAINTENANCE)[1]
+
+
+# Named queries over raw files, as functions of the session and the test tables.
+FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "load_rejects": lambda spark, sf_dir: _rejects(spark, sf_dir).withColumn("reasons", F.concat_ws("; ", schemas.REASONS)),
+    "load_reject_counts": lambda spark, sf_dir: contract.reason_counts(_rejects(spark, sf_dir)),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: query(key) for key in OPERATORS}
+    from_files = {key: lambda spark, sf_dir, key=key: conform(FILE_QUERIES[key](spark, sf_dir), key) for key in FILE_QUERIES}
+    return {key: query(key) for key in OPERATORS} | from_files

@@ -28,10 +28,13 @@ DUAL_THRESHOLD_PERCENTILE = 0.90
 
 def asset_reliability(m: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
     """3.1 One row per maintained asset: three asset-grain aggregates, two left joins."""
-    ms = maintenance_by_asset_with_mode(m)
-    ps = production_by_well(p).withColumnRenamed("readings", "production_readings")
-    es = (emissions_by_asset(e).withColumnRenamed("readings", "emissions_readings")
-          .withColumnRenamed("asset_id", "e_asset_id"))
+    return view_of(maintenance_by_asset_with_mode(m), production_by_well(p), emissions_by_asset(e))
+
+
+def view_of(ms: DataFrame, ps: DataFrame, es: DataFrame) -> DataFrame:
+    """3.1 from the three one-row-per-asset summaries."""
+    ps = ps.withColumnRenamed("readings", "production_readings")
+    es = es.withColumnRenamed("readings", "emissions_readings").withColumnRenamed("asset_id", "e_asset_id")
     j = (ms.join(ps, ms["asset_id"] == ps["well_id"], "left")
            .join(es, ms["asset_id"] == es["e_asset_id"], "left"))
     return j.select(

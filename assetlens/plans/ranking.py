@@ -63,11 +63,16 @@ def materialize(df: DataFrame, name: str = "ranking") -> DataFrame:
     executor loss), but runs one job. Everything a caller relies on later
     (bucket ids, positions) is stored as columns, not in the partition layout.
     """
+    return workspace(df.sparkSession).save(df, name)
+
+
+def workspace(spark: SparkSession) -> Scratch:
+    """Scratch of the current :func:`owned` block, else one that the process owns."""
     scratch = _OWNER.get()
     if scratch is None:
-        scratch = Scratch(df.sparkSession)
+        scratch = Scratch(spark)
         atexit.register(scratch.drop_all)
-    return scratch.save(df, name)
+    return scratch
 
 
 def positions(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None,

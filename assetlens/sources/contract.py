@@ -12,8 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import positions
+from ..plans.ranking import materialize, positions
 from . import schemas
+from .files import UNREADABLE
+from .marts import Mart
+
+MISSING = "missing "            # followed by the required column that is NULL
+MALFORMED_ROW = "malformed row"  # marked by a reader that gives no reasons
 
 
 def violation(df: DataFrame, schema) -> Column:
@@ -31,7 +36,37 @@ def split_valid(df: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
     fields are marked; the accepted frame loses the mark.
     """
     bad = violation(df, schema)
-    return df.where(~bad).drop(schemas.MALFORMED), df.where(bad)
+    return df.where(~bad).drop(schemas.MALFORMED, schemas.REASONS), df.where(bad)
+
+
+def reasons(df: DataFrame, schema) -> Column:
+    """The rules that a row breaks, as an array: what the reader could not read,
+    then the required columns that are NULL (and were not unreadable)."""
+    known = F.array().cast("array<string>")
+    if schemas.REASONS in df.columns:
+        known = F.col(schemas.REASONS)
+    elif schemas.MALFORMED in df.columns:
+        known = F.when(F.col(schemas.MALFORMED), F.array(F.lit(MALFORMED_ROW))).otherwise(known)
+    missing = [F.when(F.col(c).isNull() & ~F.array_contains(known, UNREADABLE + c), F.lit(MISSING + c))
+               for c in schemas.required_columns(schema)]
+    return F.concat(known, F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>"))
+
+
+def split_rejects(df: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejects) without any action; rejects carry ``schemas.REASONS``.
+
+    The rejects are a mart like any other table: write them, count them with
+    :func:`reason_counts`, or correct them and load them again.
+    """
+    judged = df.withColumn(schemas.REASONS, reasons(df, schema)).drop(schemas.MALFORMED)
+    broken = F.size(schemas.REASONS) > 0
+    return judged.where(~broken).drop(schemas.REASONS), judged.where(broken)
+
+
+def reason_counts(rejects: DataFrame) -> DataFrame:
+    """reason, row_count: rejects per broken rule in one pass (a row counts for each of its rules)."""
+    return rejects.select(F.explode(schemas.REASONS).alias("reason")).groupBy("reason") \
+        .agg(F.count(F.lit(1)).alias("row_count")).orderBy(F.desc("row_count"), "reason")
 
 
 def enforce(df: DataFrame, schema) -> DataFrame:
@@ -85,3 +120,24 @@ def with_surrogate_key(df: DataFrame, name: str = "maintenance_id",
     tagged = df.withColumn("_tie", F.monotonically_increasing_id())
     keyed = positions(tagged, [F.col(c).asc_nulls_last() for c in cols] + [F.col("_tie").asc()])
     return keyed.withColumnRenamed("_pos", name).drop("_n", "_tie").select(name, *df.columns)
+
+
+def append_keyed(mart: Mart, loaded: DataFrame, name: str = "maintenance_id", whole: bool = True) -> DataFrame:
+    """Publish the events of ``loaded`` that ``mart`` does not hold yet, numbered on from its last id.
+
+    Events keep the id of their first load. A ``whole`` load repeats the stored
+    events: they are taken off as a multiset (equal rows are events of their
+    own) by one aggregation over the natural columns, and only what is left is
+    sorted and numbered. With ``whole=False`` every loaded row is a new event.
+    Stored files are not rewritten: a load is a part of the mart. Returns the mart's rows.
+    """
+    columns = loaded.columns
+    last = 0
+    if mart.parts():
+        stored = mart.read()
+        last = stored.agg(F.max(name)).first()[0] or 0
+        if whole:
+            loaded = materialize(loaded.exceptAll(stored.select(*columns)), "new-events")
+    keyed = with_surrogate_key(loaded, name).withColumn(name, F.col(name) + F.lit(last))
+    mart.publish({f"load-{mart.version() + 1:06d}": keyed})
+    return mart.read()

@@ -21,14 +21,19 @@ from . import schemas
 # a literal \N stays text.
 _NULL_MARKER = "\x00"
 
+# What a PERMISSIVE read says of a row (the second is followed by the column).
+WRONG_FIELDS = "wrong number of fields"
+UNREADABLE = "unreadable "
 
-def _read_csv(spark: SparkSession, path: str, schema, mode: str, multiline: bool) -> DataFrame:
+
+def _read_csv(spark: SparkSession, path: str, schema, mode: str, multiline: bool, header: bool) -> DataFrame:
     """All columns as text first, then cast.
 
     FAILFAST: a malformed number or date, or a short row, fails whatever reads
     it (ANSI cast). Any other mode gives NULL there and adds the boolean
-    column ``schemas.MALFORMED``. ``multiline`` allows line ends inside quoted
-    fields; it makes each file one task.
+    column ``schemas.MALFORMED`` and ``schemas.REASONS``, which says what could
+    not be read. ``multiline`` allows line ends inside quoted fields; it makes
+    each file one task. ``header`` says whether every file starts with a header line.
     """
     strict = mode.upper() == "FAILFAST"
     fields = [T.StructField(f.name, T.StringType(), True) for f in schema.fields]
@@ -36,7 +41,7 @@ def _read_csv(spark: SparkSession, path: str, schema, mode: str, multiline: bool
         fields.append(T.StructField("_corrupt", T.StringType(), True))
     raw = (spark.read
            .schema(T.StructType(fields))
-           .option("header", True)
+           .option("header", header)
            .option("enforceSchema", True)   # positional: header names ignored
            .option("mode", mode)
            .option("columnNameOfCorruptRecord", "_corrupt")
@@ -46,36 +51,43 @@ def _read_csv(spark: SparkSession, path: str, schema, mode: str, multiline: bool
            .option("emptyValue", "")
            .csv(path))
     cols, bad = [], F.lit(False) if strict else F.col("_corrupt").isNotNull()
+    reasons = [] if strict else [F.when(F.col("_corrupt").isNotNull(), F.lit(WRONG_FIELDS))]
     for f in schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
             cols.append(c.alias(f.name))
             # Never true: it keeps the column in the scan, without which Spark's
             # parser would not notice a row of too few fields.
-            bad = bad | F.coalesce(F.length(c) < 0, F.lit(False))
+            never = F.coalesce(F.length(c) < 0, F.lit(False))
+            bad = bad | never
+            reasons.append(F.when(never, F.lit(WRONG_FIELDS)))
         else:
             c = F.when(F.trim(c) != "", F.trim(c))
             if strict:
                 cols.append(c.cast(f.dataType).alias(f.name))
             else:
                 cols.append(c.try_cast(f.dataType).alias(f.name))
-                bad = bad | (c.isNotNull() & c.try_cast(f.dataType).isNull())
-    return raw.select(*cols) if strict else raw.select(*cols, bad.alias(schemas.MALFORMED))
+                unreadable = c.isNotNull() & c.try_cast(f.dataType).isNull()
+                bad = bad | unreadable
+                reasons.append(F.when(unreadable, F.lit(UNREADABLE + f.name)))
+    if strict:
+        return raw.select(*cols)
+    return raw.select(*cols, bad.alias(schemas.MALFORMED), F.array_compact(F.array(*reasons)).alias(schemas.REASONS))
 
 
 def read_maintenance_csv(spark: SparkSession, path: str, mode: str = "FAILFAST",
-                         multiline: bool = False) -> DataFrame:
-    return _read_csv(spark, path, schemas.MAINTENANCE, mode, multiline)
+                         multiline: bool = False, header: bool = True) -> DataFrame:
+    return _read_csv(spark, path, schemas.MAINTENANCE, mode, multiline, header)
 
 
 def read_production_csv(spark: SparkSession, path: str, mode: str = "FAILFAST",
-                        multiline: bool = False) -> DataFrame:
-    return _read_csv(spark, path, schemas.PRODUCTION, mode, multiline)
+                        multiline: bool = False, header: bool = True) -> DataFrame:
+    return _read_csv(spark, path, schemas.PRODUCTION, mode, multiline, header)
 
 
 def read_emissions_csv(spark: SparkSession, path: str, mode: str = "FAILFAST",
-                       multiline: bool = False) -> DataFrame:
-    return _read_csv(spark, path, schemas.EMISSIONS, mode, multiline)
+                       multiline: bool = False, header: bool = True) -> DataFrame:
+    return _read_csv(spark, path, schemas.EMISSIONS, mode, multiline, header)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:

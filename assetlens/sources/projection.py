@@ -57,6 +57,27 @@ EMISSIONS_SELECT = [
 ]
 
 
+# Cells of a maintenance CSV file as text, with the defects that real files have:
+# blank and unreadable cells, and lines that end after three cells.
+RAW_CELLS = [
+    f"case when l_orderkey % 61 = 0 then '' else {prefixed_id('l_partkey')} end",
+    "case when l_orderkey % 59 = 0 then '' when l_orderkey % 67 = 0 then '1995-13-40' "
+    "else cast(cast(l_shipdate as date) as string) end",
+    "case when l_orderkey % 71 = 0 then 'n/a' when l_orderkey % 13 = 0 then '' "
+    "else cast(cast(l_extendedprice as decimal(14,2)) as string) end",
+    "case when l_returnflag = 'A' then 'Leak' when l_returnflag = 'N' then 'Valve' else '' end",
+    "case when (l_orderkey + l_linenumber) % 73 = 0 then '12h' else cast(cast(l_quantity as int) as string) end",
+]
+RAW_SHORT = "(l_orderkey + l_linenumber) % 83 = 0"
+
+
+def raw_maintenance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV line per row of ``lineitem``, defects included (column ``value``)."""
+    cells = [f"{c}" for c in RAW_CELLS]
+    return _read(spark, sf_dir, "lineitem").selectExpr(
+        f"case when {RAW_SHORT} then concat_ws(',', {', '.join(cells[:3])}) else concat_ws(',', {', '.join(cells)}) end as value")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -33,6 +33,8 @@ SCHEMAS = {"maintenance": MAINTENANCE, "production": PRODUCTION, "emissions": EM
 
 #: Mark that a PERMISSIVE read puts on rows with an unreadable cell or a wrong field count.
 MALFORMED = "_malformed"
+#: Its reasons, an array of text.
+REASONS = "_reasons"
 
 # Scales of the decimal columns, used by the exact-rounding helpers.
 COST_SCALE = 2

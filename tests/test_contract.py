@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_every_query_has_an_oracle_and_contract():
     assert set(catalog.queries()) == set(oracle.oracle_sql()) == set(CONTRACT)
     assert set(CONTRACT) <= set(E.queries())
-    assert len(CONTRACT) == 41
+    assert len(CONTRACT) == 45
 
 
 def test_entry_runs(spark):
