@@ -42,7 +42,11 @@ BLOCK = 2048                   # classes that one task compares at a time
 
 
 def plan(classes: int, least: float = LEAST) -> tuple[int, int]:
-    """(bits, tables) for the largest label's number of classes."""
+    """(bits, tables) for the largest label's number of classes.
+
+    Bits end at 20: beyond 32 million classes buckets grow, which costs
+    comparisons and loses nothing, as buckets of any size are dealt into blocks.
+    """
     bits = min(20, max(4, math.ceil(math.log2(max(2, classes / BUCKET)))))
     hit = (1 - math.acos(least) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log1p(-hit))
@@ -99,9 +103,8 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, column: str = "embedding"
     HASHED = {"rep": "long", "label": "long", "dim": "int", "table": "int", "bucket": "long"}
     at = ["label", "dim", "table", "bucket"]
     placed = scratch.save(classes.mapInArrow(hashed, ", ".join(f"{k} {v}" for k, v in HASHED.items())), "placed")
-    size = placed.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1") \
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")) \
-        .withColumn("work", F.xxhash64(*at))
+    size = scratch.save(placed.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
+                        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "sizes")
 
     # Block pairs (i <= j) of each bucket; a class goes to every pair with its own block.
     dealt = placed.join(size, at).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \

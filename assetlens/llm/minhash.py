@@ -22,7 +22,8 @@ Shape of the job:
   computed by distributed star steps.
 
 Defined results: null and empty texts have an empty set and link with
-nothing; rows that repeat an id are one node; a row with a null id links with
+nothing; rows that repeat an id are linked with each other, whatever their
+texts, and links of any of its texts are the id's (ids lie below 2**61); a row with a null id links with
 nothing, has a null component and is kept; an empty table gives an empty
 result; columns other than id and text are ignored.
 """
@@ -44,11 +45,18 @@ BITS = 2
 ROWS = 4                       # minima per band: 32 bands miss a pair at 0.75 with probability 5e-6
 MARGIN = 0.22                  # of the estimate, 4.6 standard errors at 0.75
 HUBS = 2                       # hubs that the linear pass verifies per member
+NODES = 1 << 61                # further sets of a repeated id are nodes from here on; ids lie below
 BLOCK_BYTES = 4 << 20          # of shingle sets in one block of a cluster, about; a task compares two blocks at a time
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
 
 
+def digest(s: np.ndarray) -> bytes:
+    """128 bits of a set of hashes, whatever their order."""
+    mixed = mix(s)
+    return np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s)), (mixed * (mixed >> np.uint64(32) | np.uint64(1))).sum(dtype=np.uint64)]).tobytes()
+
+
 def _signatures(sets, permutations: int, rows: int):
     """Per set: digest, packed low bits, band keys (None for an empty set)."""
     seeds = mix(np.arange(1, 2 * permutations + 1, dtype=np.uint64))
@@ -67,10 +75,7 @@ def _signatures(sets, permutations: int, rows: int):
         bands = mix((least.reshape(-1, rows).astype(np.uint64) * power).sum(axis=1, dtype=np.uint64) + salt)
         kept = mix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
         bits = np.unpackbits(kept.astype(np.uint8)[:, None], axis=1)[:, -BITS:]
-        mixed = mix(s)
-        digest = np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s)),
-                           (mixed * (mixed >> np.uint64(32) | np.uint64(1))).sum(dtype=np.uint64)])
-        yield digest.tobytes(), np.packbits(bits.ravel()).tobytes(), bands.view(np.int64)
+        yield digest(s), np.packbits(bits.ravel()).tobytes(), bands.view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -194,15 +199,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and packed shingle set of the documents named in ``ids``."""
+def _sets(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """Node (as doc_id) and packed shingle set of ``nodes`` (digest, rep, node).
+
+    Sets are made from the representatives' texts and told apart by digest
+    where an id is ``repeated``; equal rows then give one set.
+    """
     def run(batches):
         for batch in batches:
+            sets = list(shingle_sets(batch.column(1), words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), words)], pa.binary())],
-                ["doc_id", "set"])
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, set binary")
+                [batch.column(0).cast(pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "set"])
+    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = wanted.mapInArrow(run, "doc_id long, digest binary, set binary")
+    if not repeated:
+        return sets.select("doc_id", "set")
+    return sets.join(nodes, (F.col("doc_id") == F.col("rep")) & (sets["digest"] == nodes["digest"])) \
+        .groupBy("node").agg(F.min("set").alias("set")).withColumnRenamed("node", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 75) -> DataFrame:
@@ -211,17 +225,33 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     least = percent / 100 - MARGIN
     sig = scratch.save(signatures(docs, words), "signatures")
 
-    # One representative per distinct set (of the smallest id that has it).
+    # A node per distinct set: its smallest id. An id that stands for several sets
+    # (rows that repeat it) names one of their nodes, the others take numbers beyond all ids.
     named = sig.where("doc_id is not null and digest is not null")
-    reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    mark = F.xxhash64("digest")
+    reps = scratch.save(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")
+    shared = scratch.save(reps.groupBy(F.col("rep").alias("r")).agg(F.min(mark).alias("first"), F.count("*").alias("n"))
+                          .where("n > 1").select("r", "first"), "shared-ids")
+    nodes = scratch.save(reps.join(shared, F.col("rep") == F.col("r"), "left").select(
+        "digest", "rep", F.when(F.coalesce(mark != F.col("first"), F.lit(False)), mark.bitwiseAND(NODES - 1) + NODES).otherwise(F.col("rep")).alias("node")), "nodes")
+    again = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(mark).alias("x"), F.max(mark).alias("y")).where("n > 1")
+    again = scratch.save(again.select("doc_id", (F.col("x") < F.col("y")).alias("several")), "repeated-ids")
+    repeated = bool(again.head(1))
+    # The sets of one id are linked.
+    owned = scratch.save(named.join(again.where("several"), "doc_id", "left_semi").select("doc_id", "digest").distinct()
+                         .join(nodes, "digest").select("doc_id", "node"), "owned")
+    least_node = scratch.save(owned.groupBy(F.col("doc_id").alias("d")).agg(F.min("node").alias("b")), "least-owned")
+    own_links = owned.join(least_node, F.col("doc_id") == F.col("d")).select(F.col("node").alias("a"), "b").where("a <> b")
+
     one = F.min_by(F.struct("sig", "bands"), "digest")
-    rep = scratch.save(named.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-                       .groupBy(F.col("doc_id").alias("id")).agg(one.alias("s")).select("id", "s.sig", "s.bands"), "reps")
+    rep = scratch.save(named.join(nodes.select(F.col("rep").alias("doc_id"), "digest", F.col("node").alias("id")), ["doc_id", "digest"])
+                       .groupBy("id").agg(one.alias("s")).select("id", "s.sig", "s.bands"), "reps")
 
-    # Buckets that two or more representatives share.
+    # Buckets that two or more representatives share, written before the members meet them.
     bands = rep.select("id", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    members = scratch.save(bands.join(shared.select("key", "hub"), "key"), "members")
+    shared = scratch.save(bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
+                          .where("hub < last").select("key", "hub"), "shared")
+    members = scratch.save(bands.join(shared, "key"), "members")
     touched = members.select("id").distinct().join(rep.select("id", "sig"), "id")
 
     # Linear pass: the hubs (least ids of buckets) that a member shares most bands with.
@@ -231,13 +261,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     likely = most.join(touched.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a") \
         .join(touched.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     best = _estimate(likely, least)
-    sets = scratch.save(_sets(docs, members.select("id").distinct(), words), "sets")
-    links = scratch.save(_verify(best, sets, percent), "links-0")
+    held = nodes.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    sets = scratch.save(_sets(docs, held, words, repeated), "sets")
+    links = scratch.save(_verify(best, sets, percent).union(own_links), "links-0")
     comps = components(links, scratch, "cc-0")
 
     # What is still apart within a bucket is decided within clusters of such buckets.
     placed = members.join(comps, "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("comp"))
     apart = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    apart = scratch.save(apart, "apart-keys")
     placed = scratch.save(placed.join(apart, "key", "left_semi").select("id", "hub", "comp").distinct(), "apart")
     clusters = components(placed.select(F.col("id").alias("a"), F.col("hub").alias("b")), scratch, "clusters")
     cluster = scratch.save(placed.select("id", "comp").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
@@ -246,7 +278,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     comps = components(links, scratch, "cc-1")
     scratch.drop("sets", "members", "apart", "cluster")
 
-    return sig.join(reps, "digest", "left") \
-        .join(comps.withColumnRenamed("id", "rep"), "rep", "left") \
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")) \
+    # Null digests (empty sets) and null ids stay out of the joins.
+    alone = sig.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.join(nodes, "digest").join(comps.withColumnRenamed("id", "node"), "node", "left") \
+        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).union(alone) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -2,9 +2,10 @@
 
 Attention over a piece of n tokens costs ``n * LINEAR + n * n * QUADRATIC``.
 Whole stretches of ``capacity`` tokens are sequences of their own. The rests
-(shorter than a sequence, so bounded) are dealt by a hash of id and text into
-pools of about ``POOL`` documents; equal rows are counted and dealt by their
-number too. Each pool opens as many sequences as its tokens
+(shorter than a sequence, so bounded) are dealt into pools of about ``POOL``
+documents by a hash of id, text, input partition and, for equal rows of a
+partition, their number there; so a lost task deals its rows again as before,
+and equal rows, even a third of the table, go to many pools. Each pool opens as many sequences as its tokens
 fill, and documents in descending cost go to the sequence of lowest cost that
 still has room; where none has room, the document is cut to fill the sequence
 with the most room. Every sequence but a pool's last is then full. The last
@@ -28,9 +29,12 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import mix
+
 CAPACITY = 2048
 END = 1                        # id that ends a document
 POOL = 2048                    # documents per pool, about
@@ -53,14 +57,19 @@ def cost(length: int) -> float:
 def encoder(path: str):
     """text -> ids, as the tokenizer file at ``path`` encodes without added special tokens.
 
-    A byte-pair vocabulary that lies beside it as ranks gives the same ids
-    three times faster; texts that contain a special token's string go to the
-    file's own tokenizer.
+    The rule: a byte-pair vocabulary ``x.json`` is read from its ranks
+    ``x.tiktoken`` where they lie beside it (the same ids, three times faster).
+    Texts that contain the special token's string, and vocabularies without
+    ranks, go to the file's own tokenizer, which is opened when first needed.
     """
-    from tokenizers import Tokenizer
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    exact = Tokenizer.from_file(path)
-    slow = lambda text: exact.encode(text, add_special_tokens=False).ids
+    exact = []
+
+    def slow(text):
+        if not exact:
+            from tokenizers import Tokenizer
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            exact.append(Tokenizer.from_file(path))
+        return exact[0].encode(text, add_special_tokens=False).ids
     ranks = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks):
         return slow
@@ -148,31 +157,23 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text) with ``k``, which numbers equal rows. They are counted
-    first and written out in stretches of ``POOL`` that lie in different tasks."""
-    return rows.groupBy("doc_id", "text").agg(F.count("*").alias("n")) \
-        .withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(POOL).cast("long")))) \
-        .repartition(F.xxhash64("doc_id", "text", "lo")) \
-        .withColumn("k", F.explode(F.sequence("lo", F.least(F.col("lo") + POOL, "n") - 1))) \
-        .select("doc_id", "text", "k")
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document: see ``PIECES``; ids_crc32 is over
     little-endian unsigned 32-bit ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total, most = rows.groupBy(F.xxhash64("doc_id", "text")).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
-    pools = max(1, -(-(total or 0) // POOL))
-    rows = (_numbered(rows) if (most or 0) > 1 else rows.withColumn("k", F.lit(0).cast("long"))) \
-        .select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", "k"), F.lit(pools)).cast("int").alias("pool"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    pools = max(1, -(-docs.count() // POOL))
 
     def encode(batches):
-        to_ids = encoder(tokenizer)
+        to_ids, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                total, full, rest = [], [], []
+                total, full, rest, place = [], [], [], []
+                for key in part.column(2).to_pylist():
+                    seen[key] = count = seen.get(key, -1) + 1
+                    place.append((key, task, count))
+                lots = np.array(place, np.int64).view(np.uint64)
+                pool = mix(mix(mix(lots[:, 0]) ^ lots[:, 1]) ^ lots[:, 2]) % np.uint64(pools)
                 for text in part.column(1):
                     ids = np.array([*to_ids(text.as_py() or ""), END], "<u4")
                     whole = len(ids) // capacity
@@ -180,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
                     full.append([zlib.crc32(ids[k * capacity:(k + 1) * capacity].tobytes()) for k in range(whole)])
                     rest.append(ids[whole * capacity:].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2), part.column(0), pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
+                    [pa.array(pool.astype(np.int32)), part.column(0), pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
                     ["pool", "doc_id", "tokens", "full", "rest"])
 
     def pool(f: pd.DataFrame) -> pd.DataFrame:
@@ -199,5 +200,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
         out = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         return out.astype({"doc_id": "Int64"})
 
-    return rows.select("doc_id", "text", "pool").mapInArrow(encode, "pool int, doc_id long, tokens long, full array<long>, rest binary") \
+    return rows.mapInArrow(encode, "pool int, doc_id long, tokens long, full array<long>, rest binary") \
         .groupBy("pool").applyInPandas(pool, PIECES)

@@ -14,7 +14,8 @@
    out fold); a temperature fitted on a fifth of them calibrates the scores.
 
 Defined results: null and empty texts are scored from zero features; rows
-that repeat an id are scored each; a null id counts as held out; labels that
+that repeat an id are scored each (of a labelled one's texts one is learned
+from); a null id counts as held out; labels that
 are null or contradict each other for one id are not learned from; without
 labels of both classes every score is 0.5. Other columns are ignored.
 """
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, held_out
+from .common import Sent, held_out, one_text, thinned
 from .textops import LOWER, SHAPES, chunks, hash_spans, mix, tokens
 
 BUCKETS, DIMS, NONZERO = 1 << 13, 32, 4
 SAMPLE = 16_384               # labelled rows that the network is fitted on, at most
 HIDDEN, EPOCHS = 32, 40
-POOL_BYTES, POOL_ROWS = 256 << 10, 128   # texts pooled at once
+POOL_BYTES, POOL_ROWS = 256 << 10, 128   # texts taken at once
 ACCEPT = 0.3                  # documents that score less are rejected
 FEATURES = 2 * DIMS + SHAPES + 2
 
@@ -58,7 +59,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches):
         index, total = index_vectors(), np.zeros((BUCKETS, DIMS), np.int64)
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0), POOL_BYTES):
                 start, end, _, bounds = tokens(data, offsets)
                 if not len(start):
                     continue
@@ -151,12 +152,13 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Network:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """doc_id, y, text of at most ``sample`` labelled documents outside the held-out fold."""
+    """doc_id, y, text of at most ``sample`` labelled documents outside the held-out fold,
+    one text per id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")) \
         .where(f"doc_id is not null and y in (0, 1)").where(~held_out()) \
-        .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+        .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("doc_id", "y")
+    known = thinned(known, F.xxhash64("doc_id"), sample)
+    return one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"), "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
@@ -169,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             x = pooled(batch.column(2), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
     rows = training_rows(docs, labels, "quality", sample).select("doc_id", "y", "text") \
-        .mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")[:sample]
+        .mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")
+    sent.destroy()
     if rows.empty:
         return vectors, fit(np.zeros((1, FEATURES)), np.zeros(1), np.zeros(1, bool))
     x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), FEATURES).astype(float)

@@ -18,9 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes cross-site boilerplate lines; a document left without text goes
     (each of its lines stands in another document)."""
-    clean = lines.dedup_lines(docs, owner(spark))
-    return clean.where("text is null or n_removed = 0 or trim(text) <> ''") \
-        .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \
+    clean = lines.dedup_lines(docs, owner(spark), counts=("__lines", "__removed"))
+    return clean.where("text is null or __removed = 0 or trim(text) <> ''") \
+        .withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \
         .select(*docs.columns)
 
 

@@ -17,6 +17,7 @@ CHUNK = 2 << 20                       # bytes hashed at once; one longer text is
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEPT = CHUNK + 1                      # powers kept by a worker; a longer text makes its own
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,12 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
+    found = _POWERS
+    if len(found[0]) < n:
+        found = []
+        for base in (_BASE, _INVERSE):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            found.append(np.cumprod(steps, out=steps))
+        if n <= _KEPT:
+            _POWERS[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

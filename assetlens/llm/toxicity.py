@@ -17,7 +17,8 @@
   whole text.
 
 Defined results: null and empty texts get the classifier's score without
-features (its intercept); rows that repeat an id are scored each; a null id
+features (its intercept); rows that repeat an id are scored each (one of an
+id's texts is learned from); a null id
 counts as held out and is never learned from; null or contradicting labels of
 an id are ignored; without labels the lexicons and patterns alone vote; an
 empty table gives an empty result. Other columns are ignored.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from .common import held_out
+from .common import held_out, one_text, thinned
 from .quality import training_rows
 from .textops import LOWER, chunks, hash_spans, shingle_sets, span_hasher, tokens
 
@@ -281,8 +282,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndar
     pool = votes.where("doc_id is not null").where(~held_out()).join(F.broadcast(side), "votes")
     total = dict(pool.groupBy((F.col("q") >= 0.5).alias("hot")).count().collect())
     draw = lambda hot: pool.where(F.col("q") >= 0.5 if hot else F.col("q") < 0.5) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2).select("doc_id", "q")
-    drawn = draw(True).union(draw(False)).groupBy("doc_id").agg(F.max("q").alias("q"))
+        .groupBy("doc_id").agg(F.max("q").alias("q"))
+    drawn = thinned(draw(True), F.xxhash64("doc_id"), SAMPLE // 2).union(thinned(draw(False), F.xxhash64("doc_id"), SAMPLE // 2)) \
+        .groupBy("doc_id").agg(F.max("q").alias("q"))
 
     def run(batches):
         for batch in batches:
@@ -292,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndar
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 out += [key[cut[k]:cut[k + 1]].astype(np.int32).tobytes() for k in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["q", "keys"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    rows = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id"), "q")
     rows = distinct_texts(rows, "q").select("q", "text").mapInArrow(run, "q double, keys binary").toPandas()
     if rows.empty:
         return np.zeros(BUCKETS, np.float32), 0.0

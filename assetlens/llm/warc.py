@@ -44,14 +44,18 @@ INDEX = "file string, offset long, length long, url string, payload_digest strin
 PAGES = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html binary"
 
 
-def marked(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, size, digest, refers_to (null: response) per row."""
+def marked(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, url, html, size, digest, refers_to (null: response) per row.
+
+    The shared digests are written before the pages meet them, so that one
+    payload of a third of all pages is split by the skew join.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"),
                         F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest"))
     latest = rows.where((F.col("size") >= REVISIT_BYTES) & F.col("page_id").isNotNull()) \
         .groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(latest, F.col("digest") == F.col("d"), "left") \
+    return rows.join(scratch.save(latest, "shared-payloads"), F.col("digest") == F.col("d"), "left") \
         .withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))) \
         .select("page_id", "url", "html", "size", "digest", "refers_to")
 
@@ -73,7 +77,7 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
+def write(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     """Archives of ``pages`` (page_id, url, html) under ``folder``; lazily gives the index rows.
 
     Evaluate the result once, into a table: each evaluation writes archives.
@@ -103,7 +107,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 rows = []
         if out is not None:
             out.close()
-    return marked(pages).mapInArrow(run, INDEX)
+    return marked(pages, scratch).mapInArrow(run, INDEX)
 
 
 def ranges(offsets, lengths):
@@ -122,10 +126,11 @@ def parse(data: bytes) -> dict:
     body = body[:int(fields["Content-Length"])]
     number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
     revisit = fields["WARC-Type"] == "revisit"
+    html = None if revisit else body.partition(b"\r\n\r\n")[2]
     return {"page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"] or None,
-            "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+            "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(html), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
             "record_type": fields["WARC-Type"], "refers_to": number(fields["WARC-Refers-To"]) if revisit else None,
-            "html": None if revisit else body.partition(b"\r\n\r\n")[2]}
+            "html": html}
 
 
 def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
@@ -153,7 +158,7 @@ def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Writes archives and their index, then reads every record back."""
     folder = scratch.folder("archives")
-    index = scratch.save(write(pages, folder), "index")
+    index = scratch.save(write(pages, folder, scratch), "index")
     return read(index, folder, payload=False)
 
 

@@ -161,7 +161,7 @@ def test_embeddings_equal_brute_force(spark, scratch):
 def test_warc_round_trip(spark, scratch):
     long = "<p>é" * 400
     rows = [(1, "http://a/", long), (2, "http://b/", long), (3, None, "short"), (4, "u", "short"), (5, "u", None)]
-    index = scratch.save(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f := scratch.folder("w")), "i")
+    index = scratch.save(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f := scratch.folder("w"), scratch), "i")
     got = {r.page_id: r for r in warc.read(index, f).collect()}
     assert (got[1].record_type, got[1].refers_to, got[1].html) == ("revisit", 2, None)
     assert got[2].record_type == got[3].record_type == got[4].record_type == "response" and bytes(got[2].html) == long.encode()
