@@ -46,9 +46,9 @@ def thinned(rows: DataFrame, hashed, n: int, total: int | None = None) -> DataFr
     together are sorted and moved, not ``n`` of each.
     """
     total = rows.count() if total is None else total
-    if total > n:
-        share = (n + 8 * math.sqrt(n) + 8) / total      # eight standard deviations above n
-        rows = rows.where(hashed < F.lit(int(-2 ** 63 + min(1.0, share) * (2 ** 64 - 1))))
+    share = (n + 8 * math.sqrt(n) + 8) / max(1, total)      # eight standard deviations above n
+    if share < 1:
+        rows = rows.where(hashed < F.lit(int(-2 ** 63 + share * 2 ** 64)))
     return rows.orderBy(hashed, *rows.columns).limit(n)
 
 

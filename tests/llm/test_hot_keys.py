@@ -138,6 +138,7 @@ def test_samples_are_the_rows_of_least_hash(spark):
     assert [r.doc_id for r in out.collect()] == want
     # what is sorted is thinned before, not the first rows of every task
     assert rows.where(hashed < F.lit(int(-2 ** 63 + (300 + 8 * 300 ** 0.5 + 8) / 20000 * (2 ** 64 - 1)))).count() < 700
+    assert common.thinned(rows, hashed, 19900).count() == 19900
     assert common.thinned(rows, hashed, 30000).count() == 20000 and common.thinned(rows.where("false"), hashed, 5).count() == 0
 
 
