@@ -4,7 +4,7 @@
   patterns (an insult near a pronoun, several different insults, shouting,
   strings of marks) and terms that training labels set apart (words and word
   beginnings of 4 to 6 bytes, which carry over to inflected forms and to other
-  languages; dealt by hash to ``INDUCED`` voters).
+  languages; dealt to ``INDUCED`` voters by how telling they are).
 * **Label model.** Vote patterns are counted over all documents (at most
   2**voters rows). A generative model with a latent label is fitted by EM on
   those counts: a class prior, per-class fire rates (accuracies) and, for
@@ -13,7 +13,8 @@
   don't count twice. Patterns of labelled training rows keep their label.
 * **Classifier.** Logistic regression on hashed words and word beginnings,
   trained on the driver on at most ``SAMPLE`` documents outside the held-out
-  fold with the label model's posteriors as soft labels. It scores every
+  fold with the label model's posteriors as soft labels (given a training
+  label, that label). It scores every
   whole text.
 
 Defined results: null and empty texts get the classifier's score without
@@ -26,6 +27,8 @@ empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +56,9 @@ BUCKETS = 1 << BUCKET_BITS
 CHUNK = 256 << 10
 PREFIXES = (4, 5, 6)
 INDUCED = 4
+TELLING = 5                   # least likelihood ratio of a term that votes
 VOTERS = len(LEXICONS) + 4 + INDUCED
-ROUNDS = 300
+ROUNDS = 1000
 
 
 def _hash_words(text: str) -> np.ndarray:
@@ -133,11 +137,21 @@ def distinct_texts(rows: DataFrame, by: str) -> DataFrame:
         .select("r.doc_id", by, "r.text")
 
 
+def _tail(k: int, n: int, p: float) -> float:
+    """Probability of ``k`` or more of ``n`` at rate ``p``."""
+    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+           for i in range(int(k), int(n) + 1)]
+    return min(1.0, sum(map(math.exp, log)))
+
+
 def induce(rows: DataFrame) -> np.ndarray:
     """Voter of each term bucket (-1: none), from labelled training rows (y, text).
 
-    A term votes when it is at least ten times likelier in documents labelled
-    toxic, with one added to each count, and occurs in 1 % of them (eight at least).
+    A term votes when it is at least ``TELLING`` times likelier in documents
+    labelled toxic, with one added to each count, and so many of its documents
+    being toxic is, by chance, not expected of even one of the terms (binomial
+    tail). So rare languages need few documents, and the bar rises with the
+    vocabulary. The most telling terms share the first voter, and so on.
     """
     def run(batches):
         for batch in batches:
@@ -156,9 +170,13 @@ def induce(rows: DataFrame) -> np.ndarray:
     out = np.full(BUCKETS, -1, np.int64)
     if len(found):
         n0, n1 = found.loc[-1, "c0"], found.loc[-1, "c1"]
-        good = found.index.to_numpy()[(found.c1 >= max(8, 0.01 * n1)) & ((found.c1 + 1) / (n1 + 2) > 10 * (found.c0 + 1) / (n0 + 2))]
-        good = good[good >= 0]
-        out[good] = good % INDUCED
+        found = found[found.index >= 0]
+        ratio = ((found.c1 + 1) / (n1 + 2) / ((found.c0 + 1) / (n0 + 2))).to_numpy()
+        chance = np.array([_tail(c1, c0 + c1, (n1 + 1) / (n0 + n1 + 2)) if x >= TELLING else 1.0
+                           for c0, c1, x in zip(found.c0, found.c1, ratio)])
+        good = np.flatnonzero(chance * len(found) < 1)
+        good = good[np.argsort(-ratio[good], kind="stable")]
+        out[found.index.to_numpy()[good]] = np.arange(len(good)) * INDUCED // max(1, len(good))
     return out
 
 
@@ -279,7 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndar
     q = model.posterior(patterns)
     spark = docs.sparkSession
     side = spark.createDataFrame([(int(p), float(x)) for p, x in zip(patterns, q)], "votes long, q double")
-    pool = votes.where("doc_id is not null").where(~held_out()).join(F.broadcast(side), "votes")
+    pool = votes.where("doc_id is not null").where(~held_out()).join(F.broadcast(side), "votes") \
+        .join(F.broadcast(ids), "doc_id", "left").withColumn("q", F.coalesce(F.col("y").cast("double"), "q")).drop("y")
     total = dict(pool.groupBy((F.col("q") >= 0.5).alias("hot")).count().collect())
     draw = lambda hot: pool.where(F.col("q") >= 0.5 if hot else F.col("q") < 0.5) \
         .groupBy("doc_id").agg(F.max("q").alias("q"))
