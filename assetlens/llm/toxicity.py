@@ -172,9 +172,9 @@ def induce(rows: DataFrame) -> np.ndarray:
         n0, n1 = found.loc[-1, "c0"], found.loc[-1, "c1"]
         found = found[found.index >= 0]
         ratio = ((found.c1 + 1) / (n1 + 2) / ((found.c0 + 1) / (n0 + 2))).to_numpy()
-        chance = np.array([_tail(c1, c0 + c1, (n1 + 1) / (n0 + n1 + 2)) if x >= TELLING else 1.0
-                           for c0, c1, x in zip(found.c0, found.c1, ratio)])
-        good = np.flatnonzero(chance * len(found) < 1)
+        c0, c1 = found.c0.to_numpy(), found.c1.to_numpy()
+        good = np.array([k for k in np.flatnonzero(ratio >= TELLING)
+                         if _tail(c1[k], c0[k] + c1[k], (n1 + 1) / (n0 + n1 + 2)) * len(found) < 1], np.int64)
         good = good[np.argsort(-ratio[good], kind="stable")]
         out[found.index.to_numpy()[good]] = np.arange(len(good)) * INDUCED // max(1, len(good))
     return out
@@ -248,27 +248,38 @@ def votes_of(docs: DataFrame, induced: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, votes long")
 
 
-def _regression(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+def _regression(key: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of buckets and intercept: Adagrad on soft labels with an l2 penalty.
 
+    ``key`` holds the rows' buckets, one row's (``sizes``) after another's; they are
+    read in blocks of rows, so that only the kept ones are ever widened.
+
     Only buckets that eight rows or more have, and which tell the classes
     apart beyond chance (three standard errors), get a weight.
     """
-    key, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
-    have = np.bincount(key, minlength=BUCKETS)
-    p1 = np.bincount(key, (weight * y)[doc], BUCKETS) / max(n1, 1e-9)
-    p0 = np.bincount(key, (weight * (1 - y))[doc], BUCKETS) / max(n0, 1e-9)
-    both = have / max(len(rows), 1)
+    n1, n0, count = (weight * y).sum(), (weight * (1 - y)).sum(), len(sizes)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+
+    def blocks():
+        for lo in range(0, count, 512):
+            hi = min(count, lo + 512)
+            yield key[bounds[lo]:bounds[hi]], np.repeat(np.arange(lo, hi), sizes[lo:hi])
+    have, p1, p0 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for part, doc in blocks():
+        have += np.bincount(part, minlength=BUCKETS)
+        p1 += np.bincount(part, (weight * y)[doc], BUCKETS)
+        p0 += np.bincount(part, (weight * (1 - y))[doc], BUCKETS)
+    p1, p0, both = p1 / max(n1, 1e-9), p0 / max(n0, 1e-9), have / max(count, 1)
     told = (have >= 8) & (np.abs(p1 - p0) > 3 * np.sqrt(both * (1 - both) * (1 / max(y.sum(), 1) + 1 / max((1 - y).sum(), 1))) + 0.002)
-    keep = told[key]
-    names, col = np.unique(key[keep], return_inverse=True)
-    doc = doc[keep]
+    names, place = np.flatnonzero(told), (np.cumsum(told) - 1).astype(np.int32)
+    kept = [(place[part[told[part]]], doc[told[part]].astype(np.int32)) for part, doc in blocks()]
+    col, doc = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
+    del kept
     w, b = np.zeros(len(names)), float(np.log((n1 + 1) / (n0 + 1)))
     g2, b2, step = np.full(len(names), 1e-8), 1e-8, 0.3
     scale = weight / weight.sum()
     for _ in range(ROUNDS):
-        z = np.bincount(doc, w[col], len(rows)) + b
+        z = np.bincount(doc, w[col], count) + b
         error = (1 / (1 + np.exp(-z.clip(-40, 40))) - y) * scale
         g = np.bincount(col, error[doc], len(names)) + 1e-5 * w
         gb = error.sum()
@@ -321,7 +332,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndar
     y = rows.q.to_numpy()
     hot = y >= 0.5
     weight = np.where(hot, total.get(True, 0) / max(hot.sum(), 1), total.get(False, 0) / max((~hot).sum(), 1))
-    return _regression([np.frombuffer(k, np.int32) for k in rows["keys"]], y, weight)
+    sizes, key = np.array([len(k) // 4 for k in rows["keys"]], np.int64), np.frombuffer(b"".join(rows["keys"]), np.int32)
+    del rows
+    return _regression(key, sizes, y, weight)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -22,12 +22,12 @@ def test_binomial_tail_equals_exact_sum(k, n):
 
 def test_terms_of_a_rare_language_vote(spark):
     """Six toxic documents are enough for a term that no other document has; chance ones are not."""
-    rows = [(1, f"zorpa clean{k} text") for k in range(6)] + [(1, f"other{k} words") for k in range(60)] \
+    rows = [(1, f"zorpa {k}clean text") for k in range(6)] + [(1, f"{k}other words") for k in range(60)] \
         + [(0, f"plain{k} text words") for k in range(600)]
     induced = toxicity.induce(spark.createDataFrame(rows, "y int, text string"))
     key = lambda word: int(toxicity._hash_words(word)[0] >> np.uint64(64 - toxicity.BUCKET_BITS))
     assert induced[key("zorpa")] >= 0
-    assert (induced >= 0).sum() < 8 and induced[key("words")] < 0 and induced[key("other3")] < 0
+    assert (induced >= 0).sum() < 8 and induced[key("words")] < 0 and induced[key("3other")] < 0
 
 
 def test_recall_per_class_on_held_out_documents(spark):
