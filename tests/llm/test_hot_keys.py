@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assetlens.llm import common, lines, minhash, packing, quality, stages, warc
+from assetlens.llm import common, lines, minhash, packing, quality, stages, substrings, warc
 from assetlens.plans.scratch import Scratch
 
 from test_llm import frame
@@ -148,3 +148,27 @@ def test_one_labelled_id_on_a_third_of_the_documents(spark):
     out = quality.training_rows(frame(spark, rows), labels, "quality", 10_000)
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) and len(ids) < 700
+
+
+def test_removed_bytes_equal_window_by_window_marking():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        texts = [rng.integers(97, 100, rng.integers(0, 300)).astype(np.uint8) for _ in range(5)]
+        data, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        marks = substrings.text_marks(data, offsets)
+        run, mask, ends, expected = [], [], [0], np.zeros(len(data), bool)
+        for k, text in enumerate(texts):
+            at = 0
+            while at + substrings.LENGTH <= len(text):
+                n = int(min(rng.integers(1, 36), len(text) - substrings.LENGTH - at + 1))
+                m = int(rng.integers(0, 1 << n)) if rng.random() < 0.3 else 0
+                other = int(rng.random() < 0.1)      # a run of another text of the same id
+                run.append((at << substrings.RUN_BITS | n) << substrings.TEXT_BITS | int(marks[k]) ^ other)
+                mask.append(m)
+                for w in range(n):
+                    if m >> w & 1 and not other:
+                        expected[offsets[k] + at + w:offsets[k] + at + w + substrings.LENGTH] = True
+                at += n
+            ends.append(len(run))
+        got = substrings.gone(data, offsets, np.array(ends), np.array(run, np.int64), np.array(mask, np.int64))
+        assert (got == expected).all()
