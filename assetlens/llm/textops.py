@@ -76,11 +76,17 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def span_hasher(data: np.ndarray):
-    """(starts, ends) -> 64-bit hash of each byte span of ``data``."""
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the polynomial's terms before each byte, inverse powers): what span hashes are made of."""
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def span_hasher(data: np.ndarray, prefix=None):
+    """(starts, ends) -> 64-bit hash of each byte span of ``data``."""
+    sums, inverse = prefix or prefix_sums(data)
     return lambda start, end: mix((sums[end] - sums[start]) * inverse[start]
                                   + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
