@@ -252,7 +252,7 @@ def _regression(key: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.nd
     """Weights of buckets and intercept: Adagrad on soft labels with an l2 penalty.
 
     ``key`` holds the rows' buckets, one row's (``sizes``) after another's; they are
-    read in blocks of rows, so that only the kept ones are ever widened.
+    read in blocks of rows, here and in every round, so that only a block is ever widened.
 
     Only buckets that eight rows or more have, and which tell the classes
     apart beyond chance (three standard errors), get a weight.
@@ -263,26 +263,27 @@ def _regression(key: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.nd
     def blocks():
         for lo in range(0, count, 512):
             hi = min(count, lo + 512)
-            yield key[bounds[lo]:bounds[hi]], np.repeat(np.arange(lo, hi), sizes[lo:hi])
+            yield slice(lo, hi), key[bounds[lo]:bounds[hi]], np.repeat(np.arange(hi - lo, dtype=np.int16), sizes[lo:hi])
     have, p1, p0 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for part, doc in blocks():
+    for rows, part, doc in blocks():
         have += np.bincount(part, minlength=BUCKETS)
-        p1 += np.bincount(part, (weight * y)[doc], BUCKETS)
-        p0 += np.bincount(part, (weight * (1 - y))[doc], BUCKETS)
+        p1 += np.bincount(part, (weight * y)[rows][doc], BUCKETS)
+        p0 += np.bincount(part, (weight * (1 - y))[rows][doc], BUCKETS)
     p1, p0, both = p1 / max(n1, 1e-9), p0 / max(n0, 1e-9), have / max(count, 1)
     told = (have >= 8) & (np.abs(p1 - p0) > 3 * np.sqrt(both * (1 - both) * (1 / max(y.sum(), 1) + 1 / max((1 - y).sum(), 1))) + 0.002)
     names, place = np.flatnonzero(told), (np.cumsum(told) - 1).astype(np.int32)
-    kept = [(place[part[told[part]]], doc[told[part]].astype(np.int32)) for part, doc in blocks()]
-    col, doc = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-    del kept
+    kept = [(rows, place[part[told[part]]], doc[told[part]]) for rows, part, doc in blocks()]
+    del key
     w, b = np.zeros(len(names)), float(np.log((n1 + 1) / (n0 + 1)))
     g2, b2, step = np.full(len(names), 1e-8), 1e-8, 0.3
     scale = weight / weight.sum()
     for _ in range(ROUNDS):
-        z = np.bincount(doc, w[col], count) + b
-        error = (1 / (1 + np.exp(-z.clip(-40, 40))) - y) * scale
-        g = np.bincount(col, error[doc], len(names)) + 1e-5 * w
-        gb = error.sum()
+        g, gb = 1e-5 * w, 0.0
+        for rows, col, doc in kept:
+            z = np.bincount(doc, w[col], rows.stop - rows.start) + b
+            error = (1 / (1 + np.exp(-z.clip(-40, 40))) - y[rows]) * scale[rows]
+            g += np.bincount(col, error[doc], len(names))
+            gb += error.sum()
         g2, b2 = g2 + g * g, b2 + gb * gb
         w, b = w - step * g / np.sqrt(g2), b - step * gb / np.sqrt(b2)
     out = np.zeros(BUCKETS, np.float32)
@@ -332,9 +333,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[np.ndar
     y = rows.q.to_numpy()
     hot = y >= 0.5
     weight = np.where(hot, total.get(True, 0) / max(hot.sum(), 1), total.get(False, 0) / max((~hot).sum(), 1))
-    sizes, key = np.array([len(k) // 4 for k in rows["keys"]], np.int64), np.frombuffer(b"".join(rows["keys"]), np.int32)
+    keys = list(rows["keys"])
     del rows
-    return _regression(key, sizes, y, weight)
+    return _regression(np.frombuffer(b"".join(keys), np.int32), np.array([len(k) // 4 for k in keys], np.int64), y, weight)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
