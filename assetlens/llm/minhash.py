@@ -20,6 +20,8 @@ Shape of the job:
   blocks returns one link per member and other component, never its pairs.
 * Hot keys meet in skew-splittable joins or in blocks; components are
   computed by distributed star steps.
+* Texts move only for sets that share a bucket: a bitmap of bounded size sifts
+  the others out where they are read, before the exact join by id.
 
 Defined results: null and empty texts have an empty set and link with
 nothing; rows that repeat an id are linked with each other, whatever their
@@ -30,6 +32,8 @@ result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +51,8 @@ MARGIN = 0.22                  # of the estimate, 4.6 standard errors at 0.75
 HUBS = 2                       # hubs that the linear pass verifies per member
 NODES = 1 << 61                # further sets of a repeated id are nodes from here on; ids lie below
 BLOCK_BYTES = 4 << 20          # of shingle sets in one block of a cluster, about; a task compares two blocks at a time
+SIEVE_BITS = 16                # per wanted id: passes about one in sixteen of the other rows
+SIEVE_WORDS = 1 << 20          # of 64 bits, at most; a fuller sieve passes more rows
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
 
@@ -199,7 +205,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
+def _sifted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the written ``ids`` (doc_id), which are distinct.
+
+    A bitmap of hashed ids goes to every task, so that the join by id, where it
+    is a shuffle, moves few rows that it then drops. The bitmap never exceeds
+    ``SIEVE_WORDS``; what it passes is decided by that join.
+    """
+    words = min(SIEVE_WORDS, 1 << math.ceil(math.log2(max(1, ids.count() * SIEVE_BITS / 64))))
+    place = F.xxhash64("doc_id")
+    word = place.bitwiseAND(words - 1).alias("__word")
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(xxhash64(doc_id), 58) AS INT))").alias("__bit")
+    masks = ids.select(word, bit).groupBy("__word").agg(F.bit_or("__bit").alias("__mask"))
+    return rows.select("*", word, bit).join(F.broadcast(masks), "__word").where("__mask & __bit <> 0") \
+        .select(*rows.columns).join(ids, "doc_id")      # not a semi join: Spark would put that below the sieve
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, repeated: bool) -> DataFrame:
     """Node (as doc_id) and packed shingle set of ``nodes`` (digest, rep, node).
 
     Sets are made from the representatives' texts and told apart by digest
@@ -211,8 +233,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> Data
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "set"])
-    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(run, "doc_id long, digest binary, set binary")
+    ids = scratch.save(nodes.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = _sifted(docs.select("doc_id", "text"), ids).mapInArrow(run, "doc_id long, digest binary, set binary")
     if not repeated:
         return sets.select("doc_id", "set")
     return sets.join(nodes, (F.col("doc_id") == F.col("rep")) & (sets["digest"] == nodes["digest"])) \
@@ -261,8 +283,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     likely = most.join(touched.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a") \
         .join(touched.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     best = _estimate(likely, least)
-    held = nodes.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-    sets = scratch.save(_sets(docs, held, words, repeated), "sets")
+    held = scratch.save(nodes.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "held")
+    sets = scratch.save(_sets(docs, held, scratch, words, repeated), "sets")
     links = scratch.save(_verify(best, sets, percent).union(own_links), "links-0")
     comps = components(links, scratch, "cc-0")
 

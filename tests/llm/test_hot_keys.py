@@ -93,6 +93,37 @@ def test_links_of_every_text_of_a_repeated_id(spark, scratch, ids):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id in (500, 600))
 
 
+def exchanges(plan):
+    """(columns, rows written) of each shuffle of an executed plan."""
+    kind = plan.nodeName()
+    if kind == "Exchange":
+        yield plan.output().mkString(","), plan.metrics().apply("shuffleRecordsWritten").value()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in kind else \
+        [plan.children().apply(k) for k in range(plan.children().size())]
+    for below in inner:
+        yield from exchanges(below)
+
+
+@pytest.mark.parametrize("words", [1 << 20, 1])     # with one word the sieve passes every row
+def test_texts_that_share_no_bucket_are_not_shuffled(spark, scratch, small_partitions, monkeypatch, words):
+    monkeypatch.setattr(minhash, "SIEVE_WORDS", words, raising=False)
+    rows = [(k, " ".join(f"d{k}w{i}" for i in range(40))) for k in range(3000)]
+    rows += [(10000 + k, near([f"d{k}w{i}" for i in range(40)], 0)) for k in range(0, 3000, 50)] + [(None, "no id"), (20000, None)]
+    moved, save = [], Scratch.save
+
+    def spy(self, df, name):
+        out = save(self, df, name)
+        if name == "sets":
+            df.collect()
+            moved.extend(n for columns, n in exchanges(df._jdf.queryExecution().executedPlan()) if "text#" in columns)
+            assert {r.doc_id for r in out.collect()} == {k for k in range(0, 3000, 50)} | {10000 + k for k in range(0, 3000, 50)}
+        return out
+    monkeypatch.setattr(Scratch, "save", spy)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), scratch).collect()}
+    assert got == {k: k - 10000 if k and 10000 <= k < 20000 else k for k, _ in rows}
+    assert len(moved) == 1 and 120 <= moved[0] and (words == 1 or moved[0] < 1000)
+
+
 def test_line_dedup_is_linear_in_a_documents_lines(spark, scratch):
     shared = [f"shared line {k}" for k in range(40000)]
     rows = [(d, "\n".join(f"own {d}.{k}\n{s}" for k, s in enumerate(shared)), f"site{d}") for d in range(9)]
